@@ -1 +1,8 @@
 """Unusual-row detection for tables, written for Spark DataFrames."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# functions that run inside tasks travel with the job, so executors need no installed copy
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

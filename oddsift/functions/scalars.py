@@ -38,7 +38,7 @@ def to_num(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.NumericType):
         x = c.cast("double")
         return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    s = F.regexp_replace(strip(c.cast("string")), "[  ]", "")
+    s = F.regexp_replace(strip(c.cast("string")), "[ \u00a0]", "")
     s = F.regexp_replace(F.regexp_replace(s, CURRENCY_PREFIX, ""), "%+$", "")
     comma = s.rlike(DECIMAL_COMMA) | (s.contains(".") & s.contains(","))
     plain = (

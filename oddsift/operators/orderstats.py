@@ -25,7 +25,7 @@ ONE_TASK_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 500
 SALTS = 1024
-MAX_CELLS = 128
+MAX_CELLS = 64
 MAX_ROUNDS = 24
 
 
