@@ -12,7 +12,7 @@ cut into ordered cells, and the running totals inside the cells are joined back.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Mapping
+from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -327,9 +327,11 @@ def long_form(df: DataFrame, series: Mapping[str, Column], carry: list[str]) ->
     return df.select(*carry, F.explode(cells).alias("cell")).select(*carry, "cell.series", "cell.value")
 
 
-def cumulative_counts(counts: DataFrame, one_task_rows: int | None = None) -> DataFrame:
+def cumulative_counts(counts: DataFrame, one_task_rows: int | None = None, also: Sequence[str] = ()) -> DataFrame:
     """(series, value, cnt) with unique values -> the same rows with ``cum``, the count up to the value.
 
+    Further additive columns named in ``also`` get their own running totals, as ``cum_{name}``.
+
     ``counts`` is read several times, so pass a materialised table.
     """
     limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
@@ -358,15 +360,15 @@ def cumulative_counts(counts: DataFrame, one_task_rows: int | None = None) -> Da
         cell = F.when(F.col("series") == r["series"], coarse.cast("bigint")).otherwise(cell)
     placed = counts.withColumn("_cell", cell)
     before = Window.partitionBy("series").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("series", "_cell").agg(F.sum("cnt").alias("_in_cell"))
-        .select("series", "_cell", F.coalesce(F.sum("_in_cell").over(before), F.lit(0)).alias("_offset"))
-    )
     inside = Window.partitionBy("series", "_cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    totals = {"cnt": "cum", **{c: f"cum_{c}" for c in also}}
+    offsets = placed.groupBy("series", "_cell").agg(*[F.sum(c).alias(c) for c in totals]).select(
+        "series", "_cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in totals]
+    )
     return (
-        placed.withColumn("_run", F.sum("cnt").over(inside))
+        placed.select("*", *[F.sum(c).over(inside).alias(f"_run_{c}") for c in totals])
         .join(offsets, ["series", "_cell"])
-        .select("series", "value", "cnt", (F.col("_offset") + F.col("_run")).alias("cum"))
+        .select(*counts.columns, *[(F.col(f"_before_{c}") + F.col(f"_run_{c}")).alias(out) for c, out in totals.items()])
     )
 
 

@@ -55,3 +55,10 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     path = os.path.join(shared_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def fill_cores(df: DataFrame, rows: int, rows_per_task: int = 5_000) -> DataFrame:
+    """Spread a small input over the cores before heavy per-row work; large inputs have tasks enough."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    want = min(2 * cores, -(-rows // rows_per_task))
+    return df.repartition(want) if df.rdd.getNumPartitions() < min(cores, want) else df
