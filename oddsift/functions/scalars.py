@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import unicodedata
 from collections.abc import Sequence
 
@@ -90,6 +91,18 @@ def readable_number(c: Column) -> Column:
     return F.when(x == F.floor(x), whole).when(F.abs(x) >= 1, cents).otherwise(fine)
 
 
+def readable(v: float) -> str:
+    """``readable_number`` for a fitted constant."""
+    if v != v or v in (float("inf"), float("-inf")):
+        return str(v)
+    if v == int(v):
+        return str(int(v))
+    if abs(v) >= 1:
+        return f"{v:.2f}".rstrip("0").rstrip(".")
+    places = 3 - math.floor(math.log10(abs(v)))
+    return f"{v:.{places}f}".rstrip("0").rstrip(".")
+
+
 def two_digits(c: Column) -> Column:
     """Two significant digits; an exponent only below 1e-4."""
     x = c.cast("double")

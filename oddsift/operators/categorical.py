@@ -21,7 +21,7 @@ from oddsift.functions.messages import REASONS
 from oddsift.functions.scalars import significant, two_digits
 from oddsift.operators.model import Model, outputs, pick, reason
 from oddsift.operators.neighbors import DENSITY_GUARD, SCORE_DIGITS, outlier_quantile
-from oddsift.operators.orderstats import join_on_values, top_cuts
+from oddsift.operators.orderstats import BROADCAST_ROWS, join_on_values, top_cuts
 from oddsift.operators.prepare import Prepared
 from oddsift.session import materialize
 
@@ -31,7 +31,8 @@ MIN_P_VALUE = 1e-300
 MAX_CATEGORIES = 50
 LOF_MIN = 20
 
-FIRST_DEPTHS = 3  # mismatch depths taken in the first pass of the neighbour method
+FULL_DEPTH_COLUMNS = 6  # up to here every subset of columns is summed at once (at most 64)
+FIRST_DEPTHS = 3  # beyond, mismatch depths are added until every row has its neighbours
 
 
 @dataclass
@@ -209,6 +210,7 @@ def fit_categorical(p: Prepared, ids: Sequence[str], rate: float) -> Categorical
             work = work.withColumn("residuals", residual)
         score["chi_square"] = F.array_max("residuals")
     if "binomial" in ids:
+        work = work.withColumn("pmin", F.array_min(pvs))
         score["binomial"] = -F.log10(F.greatest(F.lit(MIN_P_VALUE), F.least(F.lit(1.0), F.array_min(pvs))))
     if "cooccurrence" in ids:
         score["cooccurrence"] = (
@@ -255,7 +257,7 @@ def fit_categorical(p: Prepared, ids: Sequence[str], rate: float) -> Categorical
             flag, cut, extra = F.array_min("pvs") < alpha, alpha, {"alpha_coluna": alpha}
             j = F.array_position("pvs", F.array_min("pvs")).cast("int")
             name, value, pv = pick(names, j), pick(cells, j), F.array_min("pvs")
-            why = reason(F.format_string(REASONS[m], name, value, two_digits(pv), two_digits(F.lit(alpha))),
+            why = reason(F.format_string(REASONS[m], name, value, two_digits(F.col("pmin")), two_digits(F.lit(alpha))),
                          name, value, pv, alpha)
         elif m == "cooccurrence":
             extra = {"pares": float(len(pairs))}
@@ -314,21 +316,19 @@ def mismatch_sums(df: DataFrame, keys: Sequence[str], count: int, measures: dict
     """
     size = len(keys)
     subsets = [s for m in range(depth + 1) for s in itertools.combinations(range(size), size - m)]
-    cells = F.array(*[
-        F.struct(F.lit(i).alias("sid"), F.array(*[F.col(k) if j in s else F.lit(None).cast("string")
-                                                  for j, k in enumerate(keys)]).alias("key"))
-        for i, s in enumerate(subsets)
-    ])
     names = list(measures)
-    base = df.select("gid", *keys, *[e.alias(name) for name, e in measures.items()])
-    spread = base.select("gid", *names, F.explode(cells).alias("cell")).select("gid", *names, "cell.sid", "cell.key")
-    sums = materialize(
-        spread.groupBy("sid", "key").agg(*[F.sum(x).alias(x) for x in names], F.count(F.lit(1)).alias("_combos")),
-        "agreement-sums",
+    masks = ", ".join("array(" + ", ".join("true" if j in s else "false" for j in range(size)) + ")" for s in subsets)
+    base = df.select("gid", F.array(*keys).alias("_all"), *[e.alias(name) for name, e in measures.items()])
+    spread = base.select("*", F.explode(F.sequence(F.lit(0), F.lit(len(subsets) - 1))).alias("sid")).select(
+        "gid", *names, "sid",
+        F.zip_with("_all", F.element_at(F.expr(f"array({masks})"), F.col("sid") + 1), lambda v, keep: F.when(keep, v)).alias("key"),
     )
+    bound = count * len(subsets)
+    sums = spread.groupBy("sid", "key").agg(*[F.sum(x).alias(x) for x in names], F.count(F.lit(1)).alias("_combos"))
+    if bound > BROADCAST_ROWS:
+        sums = materialize(sums, "agreement-sums")
     miss_of = F.array(*[F.lit(size - len(s)) for s in subsets])
-    hit = join_on_values(spread.select("gid", "sid", "key"), sums, ["sid", "key"], "_combos", count, F.col("gid"),
-                         count * len(subsets))
+    hit = join_on_values(spread.select("gid", "sid", "key"), sums, ["sid", "key"], "_combos", count, F.col("gid"), bound)
     miss = F.element_at(miss_of, F.col("sid") + 1)
     agreed = hit.groupBy("gid").agg(*[
         F.sum(F.when(miss == t, F.col(x))).alias(f"_{x}_{t}") for x in names for t in range(depth + 1)
@@ -340,7 +340,8 @@ def mismatch_sums(df: DataFrame, keys: Sequence[str], count: int, measures: dict
                 (-1) ** (m - t) * math.comb(size - t, size - m) * F.col(f"_{x}_{t}") for t in range(m + 1)
             ]
             exact.append(sum(terms[1:], terms[0]).alias(f"{x}_{m}"))
-    return agreed.select("gid", *exact)
+    # written, so that the callers' formulas start from plain columns
+    return materialize(agreed.select("gid", *exact), "mismatch-sums")
 
 
 def category_outlier_factors(c: Combinations) -> DataFrame:
@@ -356,11 +357,11 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
         "pooled-combinations",
     )
     size, count = len(keys), c.count
-    depth = min(size, FIRST_DEPTHS)
+    depth = size if size <= FULL_DEPTH_COLUMNS else FIRST_DEPTHS
     while True:
         around = mismatch_sums(points, keys, count, {"w": F.col("w")}, depth)
         reached = sum((F.col(f"w_{m}") for m in range(depth + 1)), F.lit(0)) - 1
-        around = materialize(around.withColumn("reached", reached), "mismatch-weights")
+        around = around.withColumn("reached", reached)
         if depth == size or around.filter(F.col("reached") < k).isEmpty():
             break
         depth += 1
@@ -394,10 +395,16 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
         return sum((F.col(f"l{b}_{m}") * max(gap[b], gap[m]) for b in range(depth + 1)), F.lit(0.0))
 
     own_reach = F.element_at(F.array(*[F.lit(g) for g in gap]), F.col("level") + 1)
-    dense = F.col("level") == 0
-    lrd = F.when(dense, 1 / F.lit(DENSITY_GUARD)).otherwise(1 / (neighbourhood(reach, own_reach) / k + DENSITY_GUARD))
+    staged = second.select(
+        *first.columns, *[reach(m).alias(f"_r{m}") for m in range(depth + 1)], own_reach.alias("_own"),
+        (F.col("level") == 0).alias("dense"),
+    )
+    total = neighbourhood(lambda m: F.col(f"_r{m}"), F.col("_own"))
+    staged = staged.select(*first.columns, "dense", total.alias("_total"))
+    lrd = F.when(F.col("dense"), 1 / F.lit(DENSITY_GUARD)).otherwise(1 / (F.col("_total") / k + DENSITY_GUARD))
+    staged = staged.withColumn("_lrd", lrd)
     third = materialize(
-        second.select(*first.columns, dense.alias("dense"), significant(lrd, 12).alias("lrd")), "mismatch-densities"
+        staged.select(*first.columns, "dense", significant(F.col("_lrd"), 12).alias("lrd")), "mismatch-densities"
     )
     # densities of copies-only points are huge, so they are counted apart from the others, which are summed
     # as decimals: both stay exact under the additions and subtractions
@@ -409,6 +416,8 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
     def density(m: int) -> Column:
         return F.col(f"soft_{m}").cast("double") + F.col(f"heavy_{m}") / F.lit(DENSITY_GUARD)
 
-    factor = F.when(F.col("dense"), 1.0).otherwise(neighbourhood(density, F.col("lrd")) / k / F.col("lrd"))
-    table = last.select(*keys, "parts", significant(factor, SCORE_DIGITS).alias("cat_lof"))
+    last = last.select(*third.columns, *[density(m).alias(f"_d{m}") for m in range(depth + 1)])
+    factor = neighbourhood(lambda m: F.col(f"_d{m}"), F.col("lrd")) / k / F.col("lrd")
+    last = last.select(*keys, "parts", F.when(F.col("dense"), 1.0).otherwise(factor).alias("_factor"))
+    table = last.select(*keys, "parts", significant(F.col("_factor"), SCORE_DIGITS).alias("cat_lof"))
     return join_on_values(flat, table, keys, "parts", count, F.col("first_row"), c.count).select("first_row", "cat_lof")

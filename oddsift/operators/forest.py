@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from oddsift.functions.messages import REASONS
-from oddsift.operators.model import Model, outputs
-from oddsift.operators.numeric import largest_deviation
+from oddsift.operators.model import Model, project
+from oddsift.operators.numeric import deviation_reason, deviation_steps
 from oddsift.operators.orderstats import quantiles
 from oddsift.operators.prepare import Prepared
 from oddsift.session import fill_cores, materialize
@@ -134,9 +134,10 @@ def fit_isolation_forest(p: Prepared, rate: float, trees: int = TREES, seed: int
     table = scored.select("row_id", F.col("score").alias("_forest"))
     score = F.col("_forest")
     prefix = F.format_string(REASONS["isolation_forest"], score)
-    cols = outputs("isolation_forest", score, score > cut, largest_deviation(p, prefix, cut, score))
+    flag, why = score > cut, deviation_reason(prefix, cut, score)
+    steps = deviation_steps(p, flag)
 
     def add(df: DataFrame) -> DataFrame:
-        return df.join(table, "row_id").select(*df.columns, *cols)
+        return project(df.join(table, "row_id"), "isolation_forest", steps, score, flag, why).drop("_forest")
 
     return Model("isolation_forest", add, cut, {"n_estimators": float(trees), "random_state": float(seed)})

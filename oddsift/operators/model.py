@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -68,15 +68,28 @@ def outputs(model: str, score: Column, flag: Column, reason: Column) -> list[Col
     ]
 
 
-def projection(model: str, score: Column, flag: Column, reason: Column) -> Callable[[DataFrame], DataFrame]:
-    cols = outputs(model, score, flag, reason)
-    return lambda df: df.select("*", *cols)
+Steps = Sequence[Mapping[str, Column]]
+
+
+def project(df: DataFrame, model: str, steps: Steps, score: Column, flag: Column, reason: Column) -> DataFrame:
+    """Append the outputs, computing named helper columns step by step.
+
+    Separate steps keep Catalyst from inlining one helper into the next many times over.
+    """
+    kept = df.columns
+    for step in steps:
+        df = df.select("*", *[c.alias(name) for name, c in step.items()])
+    return df.select(*kept, *outputs(model, score, flag, reason))
+
+
+def projection(model: str, steps: Steps, score: Column, flag: Column, reason: Column) -> Callable[[DataFrame], DataFrame]:
+    return lambda df: project(df, model, steps, score, flag, reason)
 
 
 def idle(model: str, params: Mapping[str, float] | None = None, threshold: float | None = None) -> Model:
     """A model for input it cannot judge: zero scores and no flags."""
     nothing = F.lit(None).cast(REASON_TYPE)
-    return Model(model, projection(model, F.lit(0.0), F.lit(False), nothing), threshold, params or {})
+    return Model(model, projection(model, [], F.lit(0.0), F.lit(False), nothing), threshold, params or {})
 
 
 def reason(
@@ -104,21 +117,11 @@ def largest(values: list[Column]) -> Column:
     return values[0] if len(values) == 1 else F.greatest(*values)
 
 
-def smallest(values: list[Column]) -> Column:
-    return values[0] if len(values) == 1 else F.least(*values)
-
-
-def first_largest(values: list[Column]) -> Column:
-    """1-based place of the first largest value."""
-    arr = F.array(*values)
+def place_of_largest(arr: Column) -> Column:
+    """1-based place of the first largest value of an array."""
     return F.array_position(arr, F.array_max(arr)).cast("int")
 
 
-def first_smallest(values: list[Column]) -> Column:
-    arr = F.array(*values)
-    return F.array_position(arr, F.array_min(arr)).cast("int")
-
-
 def pick(values: list, place: Column) -> Column:
     """The value at a 1-based place; plain Python values become literals."""
     return F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), place)

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from oddsift.functions.messages import REASONS
 from oddsift.functions.scalars import significant
-from oddsift.operators.model import Model, outputs
-from oddsift.operators.numeric import largest_deviation
+from oddsift.operators.model import Model, project
+from oddsift.operators.numeric import deviation_reason, deviation_steps
 from oddsift.operators.orderstats import TopCut, join_on_values, quantiles, top_cuts
 from oddsift.operators.prepare import Prepared
 from oddsift.session import materialize
@@ -357,8 +357,10 @@ def fit_knn(p: Prepared, rate: float, leaf_rows: int | None = None) -> Model:
     attach = _attach(p, pts, scored, "_knn")
     score = F.col("_knn")
     prefix = F.format_string(REASONS["knn"], score, F.lit(k))
-    cols = outputs("knn", score, cut.flags(score), largest_deviation(p, prefix, cut.threshold, score))
-    return Model("knn", lambda df: attach(df).select(*df.columns, *cols), cut.threshold, {"k": float(k)})
+    flag, why = cut.flags(score), deviation_reason(prefix, cut.threshold, score)
+    steps = deviation_steps(p, flag)
+    add = lambda df: project(attach(df), "knn", steps, score, flag, why).drop("_knn")
+    return Model("knn", add, cut.threshold, {"k": float(k)})
 
 
 def outlier_quantile(scored: DataFrame, rate: float, n: int, rows: int) -> float:
@@ -376,5 +378,7 @@ def fit_lof(p: Prepared, rate: float, leaf_rows: int | None = None) -> Model:
     attach = _attach(p, pts, scored, "_lof")
     score = F.col("_lof")
     prefix = F.format_string(REASONS["lof"], score, score)
-    cols = outputs("lof", score, score > cut, largest_deviation(p, prefix, cut, score))
-    return Model("lof", lambda df: attach(df).select(*df.columns, *cols), cut, {"n_neighbors": float(k)})
+    flag, why = score > cut, deviation_reason(prefix, cut, score)
+    steps = deviation_steps(p, flag)
+    add = lambda df: project(attach(df), "lof", steps, score, flag, why).drop("_lof")
+    return Model("lof", add, cut, {"n_neighbors": float(k)})

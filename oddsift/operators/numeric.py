@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 
 from oddsift.functions.dist import chi2_quantile, critical_z, sidak_rate
 from oddsift.functions.messages import REASONS
-from oddsift.functions.scalars import readable_number
-from oddsift.operators.model import (
-    Model, first_largest, idle, largest, outputs, pick, projection, reason,
-)
+from oddsift.functions.scalars import readable, readable_number
+from oddsift.operators.model import Model, idle, largest, pick, place_of_largest, project, projection, reason
 from oddsift.operators.orderstats import average_ranks, quantiles
 from oddsift.operators.prepare import Prepared
-from oddsift.session import materialize
 
 # The constants of the robust rules.
 NORMAL_QUARTILE = 0.6745
@@ -26,24 +23,34 @@ WIDE_COVARIANCE = 24  # beyond this many columns the covariance is summed as mat
 WIDE_DISTANCE = 10  # beyond this many columns D² is a matrix product per Arrow batch
 
 
-def largest_deviation(p: Prepared, prefix: Column, threshold: float | None, stat: Column) -> Column:
-    """A reason that names the column farthest from its mean."""
-    z = p.standardised()
-    j = first_largest([F.abs(v) for v in z])
-    name, value, signed = pick(p.numeric, j), readable_number(pick(p.numbers, j)), pick(z, j)
-    text = F.concat(prefix, F.format_string(REASONS["largest_deviation"], name, value, signed))
-    return reason(text, name, value, stat, threshold)
+def _cited(p: Prepared, flag: Column, values: list[Column], rank_by: Column) -> list[dict[str, Column]]:
+    """Helper columns for a flagged row: its largest entry ``_v`` of ``values`` and that column's name and number."""
+    return [
+        {"_arr": F.when(flag, F.array(*values))},
+        {"_j": F.when(flag, place_of_largest(rank_by))},
+        {"_name": pick(p.numeric, F.col("_j")), "_x": pick(p.numbers, F.col("_j")), "_v": F.element_at("_arr", F.col("_j"))},
+        {"_text": readable_number(F.col("_x"))},
+    ]
+
+
+def deviation_steps(p: Prepared, flag: Column) -> list[dict[str, Column]]:
+    """Helper columns that name the column farthest from its mean."""
+    return _cited(p, flag, p.standardised(), F.transform("_arr", F.abs))
+
+
+def deviation_reason(prefix: Column, threshold: float | None, stat: Column) -> Column:
+    text = F.concat(prefix, F.format_string(REASONS["largest_deviation"], "_name", "_text", "_v"))
+    return reason(text, F.col("_name"), F.col("_text"), stat, threshold)
 
 
 def fit_zscore(p: Prepared, rate: float) -> Model:
     cut = critical_z(rate, len(p.numeric))
     z = [(x - F.lit(m.mean)) / F.lit(m.sd) if m.sd else F.lit(0.0) for x, m in zip(p.numbers, p.moments)]
-    score = largest([F.abs(v) for v in z])
-    j = first_largest([F.abs(v) for v in z])
-    name, value, signed = pick(p.numeric, j), readable_number(pick(p.numbers, j)), pick(z, j)
-    text = F.format_string(REASONS["zscore"], name, value, signed, F.lit(cut))
-    return Model("zscore", projection("zscore", score, score > cut, reason(text, name, value, signed, cut)),
-                 cut, {"z_critico": cut})
+    score, flag = F.col("_s"), F.col("_s") > cut
+    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.transform("_arr", F.abs))]
+    text = F.format_string(REASONS["zscore"], "_name", "_text", "_v", F.lit(cut))
+    why = reason(text, F.col("_name"), F.col("_text"), F.col("_v"), cut)
+    return Model("zscore", projection("zscore", steps, score, flag, why), cut, {"z_critico": cut})
 
 
 def fit_iqr(p: Prepared, rate: float) -> Model:
@@ -58,13 +65,13 @@ def fit_iqr(p: Prepared, rate: float) -> Model:
         else:
             far.append(F.lit(0.0))
         reach = m * scale if scale > 0 else float("inf")
-        low.append(q1 - reach)
-        high.append(q3 + reach)
-    score = largest(far)
-    j = first_largest(far)
-    name, value = pick(p.numeric, j), readable_number(pick(p.numbers, j))
-    text = F.format_string(REASONS["iqr"], name, value, readable_number(pick(low, j)), readable_number(pick(high, j)), F.lit(m))
-    return Model("iqr", projection("iqr", score, score > m, reason(text, name, value, score, m)), m, {"multiplicador": m})
+        low.append(readable(q1 - reach))
+        high.append(readable(q3 + reach))
+    score, flag = F.col("_s"), F.col("_s") > m
+    steps = [{"_s": largest(far)}, *_cited(p, flag, far, F.col("_arr"))]
+    text = F.format_string(REASONS["iqr"], "_name", "_text", pick(low, F.col("_j")), pick(high, F.col("_j")), F.lit(m))
+    why = reason(text, F.col("_name"), F.col("_text"), score, m)
+    return Model("iqr", projection("iqr", steps, score, flag, why), m, {"multiplicador": m})
 
 
 def fit_mad(p: Prepared, rate: float) -> Model:
@@ -77,12 +84,12 @@ def fit_mad(p: Prepared, rate: float) -> Model:
             z.append(F.lit(NORMAL_QUARTILE) * (x - F.lit(c)) / F.lit(mad))
         else:
             z.append((x - F.lit(c)) / F.lit(mom.sd) if mom.sd else F.lit(0.0))
-    score = largest([F.abs(v) for v in z])
-    j = first_largest([F.abs(v) for v in z])
-    name, value, signed = pick(p.numeric, j), readable_number(pick(p.numbers, j)), pick(z, j)
-    text = F.format_string(REASONS["mad"], name, value, signed, readable_number(pick(med, j)), F.lit(str(MAD_CUT)))
-    return Model("mad", projection("mad", score, score > MAD_CUT, reason(text, name, value, signed, MAD_CUT)),
-                 MAD_CUT, {"limiar": MAD_CUT})
+    score, flag = F.col("_s"), F.col("_s") > MAD_CUT
+    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.transform("_arr", F.abs))]
+    middle = pick([readable(c) for c in med], F.col("_j"))
+    text = F.format_string(REASONS["mad"], "_name", "_text", "_v", middle, F.lit(str(MAD_CUT)))
+    why = reason(text, F.col("_name"), F.col("_text"), F.col("_v"), MAD_CUT)
+    return Model("mad", projection("mad", steps, score, flag, why), MAD_CUT, {"limiar": MAD_CUT})
 
 
 def covariance(p: Prepared, kept: list[int]) -> np.ndarray:
@@ -121,27 +128,28 @@ def fit_mahalanobis(p: Prepared, rate: float) -> Model:
     names, values = [p.numeric[j] for j in kept], [p.numbers[j] for j in kept]
     means = [p.moments[j].mean for j in kept]
     if len(kept) <= WIDE_DISTANCE:
-        d = [x - F.lit(m) for x, m in zip(values, means)]
-        parts = [
-            d[i] * sum((d[k] * F.lit(float(inverse[i, k])) for k in range(len(d))), F.lit(0.0)) for i in range(len(d))
-        ]
-        staged = None
+        centred = {f"_d{i}": x - F.lit(m) for i, (x, m) in enumerate(zip(values, means))}
+        parts = {
+            f"_p{i}": F.col(f"_d{i}")
+            * sum((F.col(f"_d{k}") * F.lit(float(inverse[i, k])) for k in range(len(kept))), F.lit(0.0))
+            for i in range(len(kept))
+        }
+        total = sum((F.col(c) for c in parts), F.lit(0.0))
+        steps = [centred, parts, {"_s": total, "_parts": F.array(*parts)}]
     else:
-        staged = _distance_parts(np.array(means), inverse)
-        parts = [F.col("_parts")[i] for i in range(len(kept))]
-    d2 = sum(parts[1:], parts[0])
-    j = first_largest(parts)
-    name, value = pick(names, j), readable_number(pick(values, j))
-    share = F.when(d2 != 0, F.round(F.bround(100 * pick(parts, j) / d2, 0), 0)).otherwise(0.0)
-    text = F.format_string(REASONS["mahalanobis"], d2, F.lit(cut), name, value, share)
-    cols = outputs("mahalanobis", d2, d2 > cut, reason(text, name, value, d2, cut))
-
-    def add(df: DataFrame) -> DataFrame:
-        if staged is None:
-            return df.select("*", *cols)
-        return df.withColumn("_parts", staged(F.array(*values))).select("*", *cols).drop("_parts")
-
-    return Model("mahalanobis", add, cut, {"graus_liberdade": float(len(kept))})
+        split = _distance_parts(np.array(means), inverse)
+        total = F.aggregate("_parts", F.lit(0.0), lambda acc, x: acc + x)
+        steps = [{"_parts": split(F.array(*values))}, {"_s": total}]
+    d2, flag = F.col("_s"), F.col("_s") > cut
+    steps += [
+        {"_j": F.when(flag, place_of_largest(F.col("_parts")))},
+        {"_name": pick(names, F.col("_j")), "_x": pick(values, F.col("_j")),
+         "_share": F.when(d2 != 0, F.bround(100 * F.element_at("_parts", F.col("_j")) / d2, 0)).otherwise(0.0)},
+        {"_text": readable_number(F.col("_x"))},
+    ]
+    text = F.format_string(REASONS["mahalanobis"], d2, F.lit(cut), "_name", "_text", "_share")
+    why = reason(text, F.col("_name"), F.col("_text"), d2, cut)
+    return Model("mahalanobis", projection("mahalanobis", steps, d2, flag, why), cut, {"graus_liberdade": float(len(kept))})
 
 
 def _distance_parts(mean: np.ndarray, inverse: np.ndarray):
@@ -176,16 +184,19 @@ def fit_percentile_fence(p: Prepared, rate: float) -> Model:
     lows, highs = [v[a / 2] for v in q], [v[1 - a / 2] for v in q]
     table = fence_ranks(p, list(zip(lows, highs)))
     flag = F.col("_fence_worst").isNotNull()
-    j = (F.lit(1) - F.col("_fence_worst.order")).cast("int")
-    name, value = pick(p.numeric, j), readable_number(pick(p.numbers, j))
+    steps = [
+        {"_j": (F.lit(1) - F.col("_fence_worst.order")).cast("int")},
+        {"_name": pick(p.numeric, F.col("_j")), "_x": pick(p.numbers, F.col("_j"))},
+        {"_text": readable_number(F.col("_x"))},
+    ]
     text = F.format_string(
-        REASONS["percentile_fence"], name, value, F.lit(100 * a / 2), F.lit(100 * (1 - a / 2)),
-        readable_number(pick(lows, j)), readable_number(pick(highs, j)),
+        REASONS["percentile_fence"], "_name", "_text", F.lit(100 * a / 2), F.lit(100 * (1 - a / 2)),
+        pick([readable(v) for v in lows], F.col("_j")), pick([readable(v) for v in highs], F.col("_j")),
     )
-    cols = outputs("percentile_fence", F.col("_fence_score"), flag,
-                   reason(text, name, value, F.col("_fence_worst.extreme"), a))
+    why = reason(text, F.col("_name"), F.col("_text"), F.col("_fence_worst.extreme"), a)
 
     def add(df: DataFrame) -> DataFrame:
-        return df.join(table, "row_id").select(*df.columns, *cols)
+        out = project(df.join(table, "row_id"), "percentile_fence", steps, F.col("_fence_score"), flag, why)
+        return out.drop(*table.columns[1:])
 
     return Model("percentile_fence", add, a, {"alpha_coluna": a})

@@ -1,0 +1,5 @@
+"""Everything here is a batch job; there is no stream operator to rebuild.
+
+The closed-form models (z-score, fences, modified z-score, Mahalanobis) are plain projections once
+fitted, so ``Model.transform`` also accepts a streaming DataFrame of prepared rows.
+"""
