@@ -293,9 +293,14 @@ class Analysis:
         doc = params.crossJoin(self.summary().select(F.struct("*").alias("summary")))
         parts = [(models, "models"), (self.votes_histogram().orderBy("votes"), "votes_histogram")]
         ranked = self.consensus()
-        doc = doc.crossJoin(ranked.agg(F.array_sort(F.collect_list(F.struct(
-            (-F.col("votes")).alias("_a"), (-F.col("consensus_score")).alias("_b"), *ranked.columns
-        ))).alias("consensus")))
+        def earlier(l: Column, r: Column) -> Column:
+            return (F.when(l["votes"] != r["votes"], r["votes"] - l["votes"])
+                    .when(l["consensus_score"] > r["consensus_score"], -1)
+                    .when(l["consensus_score"] < r["consensus_score"], 1)
+                    .otherwise(F.signum(l["row"] - r["row"]).cast("int")))
+
+        in_order = F.array_sort(F.collect_list(F.struct(*ranked.columns)), earlier)
+        doc = doc.crossJoin(ranked.agg(in_order.alias("consensus")))
         if self.prepared.numeric:
             parts.append((self.numeric_statistics(), "numeric_statistics"))
         if self.prepared.categorical:
