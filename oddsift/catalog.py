@@ -193,6 +193,10 @@ def knn(spark, sf):
     return judged(customer_numbers(spark, sf), "knn", "c_custkey").drop("reason_column")
 
 
+# the factors are defined to nine significant digits
+_NINE_DIGITS = "round(x * pow(10, 8 - floor(log10(x)))) / pow(10, 8 - floor(log10(x)))"
+
+
 @query("lof", f"""
 with {_CUSTOMERS},
 kd as (select id, max(d) kd from (select id, d, row_number() over (partition by id order by d) rn from pair) where rn <= 20 group by id),
@@ -201,10 +205,11 @@ near as (select pair.id, other, d, kd.kd, count(*) filter (where d < kd.kd) over
          from pair join kd on pair.id = kd.id where d <= kd.kd),
 take as (select id, other, d, case when d < kd then 1.0 else (20.0 - inner_n) / (all_n - inner_n) end as t from near),
 lrd as (select take.id, 1 / (sum(t * greatest(d, kd.kd)) / 20 + 1e-10) as lrd from take join kd on take.other = kd.id group by take.id),
-lof as (select take.id, sum(t * o.lrd) / 20 / max(own.lrd) as lof
+raw as (select take.id, sum(t * o.lrd) / 20 / max(own.lrd) as x
         from take join lrd o on take.other = o.id join lrd own on take.id = own.id group by take.id),
+lof as (select id, {_NINE_DIGITS} as lof from raw),
 q as (select -quantile_cont(-lof, 0.05) as cut from lof)
-select id as c_custkey, round(lof, 6) as score, lof > cut + 1e-9 as flag from lof, q""")
+select id as c_custkey, round(lof, 6) as score, lof > cut as flag from lof, q""")
 def lof(spark, sf):
     return judged(customer_numbers(spark, sf), "lof", "c_custkey").drop("reason_column")
 
@@ -297,7 +302,7 @@ def binomial(spark, sf):
     return judged(p, "binomial", "event_id").withColumn("score", F.abs("score"))
 
 
-@query("lof_categorical", """
+@query("lof_categorical", f"""
 with c as (select p_brand a, p_type b, count(*) w from part group by 1, 2),
 g as (select cast(count(*) as bigint) n, least(greatest(20, cast(floor(sqrt(count(*))) as bigint)), count(*) - 1) k from part),
 pair as (select x.a, x.b, y.a ya, y.b yb, sqrt(2.0 * ((x.a <> y.a)::int + (x.b <> y.b)::int)) d,
@@ -310,11 +315,12 @@ near as (select pair.*, kd.kd, sum(case when d < kd.kd then w else 0 end) over (
 take as (select a, b, ya, yb, d, case when d < kd then w else w * (k - before) / cast(shell as double) end t from near, g),
 lrd as (select take.a, take.b, 1 / (sum(t * greatest(d, kd.kd)) / max(k) + 1e-10) lrd
         from take join kd on ya = kd.a and yb = kd.b, g group by 1, 2),
-lof as (select take.a, take.b, sum(t * o.lrd) / max(k) / max(own.lrd) lof
+raw as (select take.a, take.b, sum(t * o.lrd) / max(k) / max(own.lrd) x
         from take join lrd o on ya = o.a and yb = o.b join lrd own on take.a = own.a and take.b = own.b, g group by 1, 2),
+lof as (select a, b, {_NINE_DIGITS} as lof from raw),
 r as (select p_partkey, lof from part join lof on p_brand = a and p_type = b),
 q as (select -quantile_cont(-lof, 0.05) cut from r)
-select p_partkey, round(lof, 6) as score, lof > cut + 1e-9 * abs(cut) as flag from r, q""")
+select p_partkey, round(lof, 6) as score, lof > cut as flag from r, q""")
 def lof_categorical(spark, sf):
     p = prepare(table(spark, sf, "part"), [], ["p_brand", "p_type"], "p_partkey")
     return judged(p, "lof_categorical", "p_partkey").drop("reason_column")
@@ -434,8 +440,8 @@ def json_safe(spark, sf):
 
 
 @query("list_split", """
-select event_id, len(list_filter(string_split(event_type || ',,' || hour(ts), ','), x -> x <> '')) as parts,
-       list_filter(string_split(event_type || ',,' || hour(ts), ','), x -> x <> '')[2] as second
+select event_id, len(list_filter(string_split(event_type || ',,' || hour(ts), ','), lambda x: x <> '')) as parts,
+       list_filter(string_split(event_type || ',,' || hour(ts), ','), lambda x: x <> '')[2] as second
 from events""")
 def list_split(spark, sf):
     joined = F.concat_ws(",", "event_type", F.lit(""), F.hour("ts").cast("string"))
@@ -539,10 +545,10 @@ s as (select event_id, value, k, event_type, hr, -ln(least(fa, fb) / cast(total
              case when zv >= zk then 'value' else 'k' end zc, case when mv >= mk then 'value' else 'k' end mc,
              case when fa <= fb then 'event_type' else 'hr' end fc from g)""", "event_id", final=""",
 v as (select *, zf::int + mf::int + flag::int as votes,
-             (rank() over (order by zs) + (count(*) over (partition by zs) - 1) / 2.0) / total
-             + (rank() over (order by ms) + (count(*) over (partition by ms) - 1) / 2.0) / total
-             + (rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0) / total as rank_sum from f),
-a3 as (select *, cast(rank_sum / 3 as double) as cons from v)
+             rank() over (order by zs) + (count(*) over (partition by zs) - 1) / 2.0
+             + rank() over (order by ms) + (count(*) over (partition by ms) - 1) / 2.0
+             + rank() over (order by score) + (count(*) over (partition by score) - 1) / 2.0 as rank_sum from f),
+a3 as (select *, cast(rank_sum as double) / (3.0 * total) as cons from v)
 """)
 _BY_MODEL = """
 l as (select event_id, 'zscore' as model, zs as score, zf as flag, case when zf then zc end as col from a3 union all

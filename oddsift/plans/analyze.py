@@ -106,7 +106,8 @@ class Analysis:
         """(row_id, consensus_score): mean percentile rank of the row over the models."""
         series = {m: F.col(f"{m}_score") for m in self.models}
         ranked = average_ranks(self.wide, series, "row_id", self.prepared.rows)
-        mean = F.sum(F.col("avg_rank") / self.prepared.rows) / len(self.models)
+        # ranks are multiples of one half, so their sum is exact in any order
+        mean = F.sum("avg_rank") / F.lit(float(self.prepared.rows * len(self.models)))
         return materialize(ranked.groupBy("row_id").agg(mean.alias("consensus_score")), "consensus")
 
     def model_summary(self) -> DataFrame:
