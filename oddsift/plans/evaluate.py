@@ -46,7 +46,7 @@ def _scores_by_label(scored: DataFrame, models: Sequence[str]) -> DataFrame:
     """(series, value, cnt, pos, cum, cum_pos): label counts per distinct score with running totals."""
     place = F.array_position(F.array(*[F.lit(m) for m in models]), F.col("model")).cast("int") - 1
     counts = materialize(
-        scored.groupBy(place.alias("series"), F.col("score").alias("value")).agg(
+        scored.filter(F.col("model").isin(*models)).groupBy(place.alias("series"), F.col("score").alias("value")).agg(
             F.count(F.lit(1)).alias("cnt"), F.sum(F.col("label").cast("bigint")).alias("pos")
         ),
         "score-labels",
