@@ -123,5 +123,6 @@ def place_of_largest(arr: Column) -> Column:
 
 
 def pick(values: list, place: Column) -> Column:
-    """The value at a 1-based place; plain Python values become literals."""
-    return F.element_at(F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values]), place)
+    """The value at a 1-based place, null without one; plain Python values become literals."""
+    arr = F.array(*[v if isinstance(v, Column) else F.lit(v) for v in values])
+    return F.when(place.isNotNull(), F.element_at(arr, place))

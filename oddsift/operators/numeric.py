@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,7 +29,7 @@ def _cited(p: Prepared, flag: Column, values: list[Column], rank_by: Column) ->
     return [
         {"_arr": F.when(flag, F.array(*values))},
         {"_j": F.when(flag, place_of_largest(rank_by))},
-        {"_name": pick(p.numeric, F.col("_j")), "_x": pick(p.numbers, F.col("_j")), "_v": F.element_at("_arr", F.col("_j"))},
+        {"_name": pick(p.numeric, F.col("_j")), "_x": pick(p.numbers, F.col("_j")), "_v": F.when(F.col("_j").isNotNull(), F.element_at("_arr", F.col("_j")))},
         {"_text": readable_number(F.col("_x"))},
     ]
 
@@ -108,8 +109,6 @@ def covariance(p: Prepared, kept: list[int]) -> np.ndarray:
             for pdf in batches:
                 m = pdf.to_numpy(dtype=float)
                 total += m.T @ m
-            import pandas as pd
-
             a, b = np.triu_indices(size)
             yield pd.DataFrame({"a": a.astype("int32"), "b": b.astype("int32"), "s": total[a, b]})
 
@@ -144,7 +143,7 @@ def fit_mahalanobis(p: Prepared, rate: float) -> Model:
     steps += [
         {"_j": F.when(flag, place_of_largest(F.col("_parts")))},
         {"_name": pick(names, F.col("_j")), "_x": pick(values, F.col("_j")),
-         "_share": F.when(d2 != 0, F.bround(100 * F.element_at("_parts", F.col("_j")) / d2, 0)).otherwise(0.0)},
+         "_share": F.when(flag, F.bround(100 * F.element_at("_parts", F.col("_j")) / d2, 0))},
         {"_text": readable_number(F.col("_x"))},
     ]
     text = F.format_string(REASONS["mahalanobis"], d2, F.lit(cut), "_name", "_text", "_share")
@@ -153,8 +152,6 @@ def fit_mahalanobis(p: Prepared, rate: float) -> Model:
 
 
 def _distance_parts(mean: np.ndarray, inverse: np.ndarray):
-    import pandas as pd
-
     @F.pandas_udf("array<double>")
     def parts(rows: pd.Series) -> pd.Series:
         d = np.vstack(rows.to_numpy()) - mean
