@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import unicodedata
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -39,16 +39,23 @@ def to_num(c: Column, dtype: T.DataType | None = None) -> Column:
     if isinstance(dtype, T.NumericType):
         x = c.cast("double")
         return F.when(~F.isnan(x) & (F.abs(x) != float("inf")), x)
-    s = F.regexp_replace(strip(c.cast("string")), "[ \u00a0]", "")
-    s = F.regexp_replace(F.regexp_replace(s, CURRENCY_PREFIX, ""), "%+$", "")
-    comma = s.rlike(DECIMAL_COMMA) | (s.contains(".") & s.contains(","))
-    plain = (
-        F.when(comma, F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit(","), F.lit(".")))
-        .when(s.rlike(THOUSANDS_DOTS), F.replace(s, F.lit("."), F.lit("")))
-        .otherwise(s)
-    )
-    x = F.when(plain.rlike(FLOAT_LITERAL), plain.try_cast("double"))
-    return F.when(F.abs(x) != float("inf"), x)
+    bare = F.regexp_replace(F.regexp_replace(c.cast("string"), _EDGES + "|[ \u00a0]", ""), CURRENCY_PREFIX, "")
+
+    def plain(s: Column) -> Column:
+        comma = s.rlike(DECIMAL_COMMA) | (s.contains(".") & s.contains(","))
+        return (
+            F.when(comma, F.translate(s, ",.", "."))
+            .when(s.rlike(THOUSANDS_DOTS), F.translate(s, ".", ""))
+            .otherwise(s)
+        )
+
+    number = _let(_let(F.regexp_replace(bare, "%+$", ""), plain), lambda s: F.when(s.rlike(FLOAT_LITERAL), s.try_cast("double")))
+    return _let(number, lambda x: F.when(F.abs(x) != float("inf"), x))
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
 def regional_text(c: Column) -> Column:

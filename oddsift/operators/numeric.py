@@ -28,7 +28,8 @@ def _cited(p: Prepared, flag: Column, values: list[Column], rank_by: Column) ->
     """Helper columns for a flagged row: its largest entry ``_v`` of ``values`` and that column's name and number."""
     return [
         {"_arr": F.when(flag, F.array(*values))},
-        {"_j": F.when(flag, place_of_largest(rank_by))},
+        {"_order": F.when(flag, rank_by)},
+        {"_j": F.when(flag, place_of_largest(F.col("_order")))},
         {"_name": pick(p.numeric, F.col("_j")), "_x": pick(p.numbers, F.col("_j")), "_v": F.when(F.col("_j").isNotNull(), F.element_at("_arr", F.col("_j")))},
         {"_text": readable_number(F.col("_x"))},
     ]
@@ -36,7 +37,8 @@ def _cited(p: Prepared, flag: Column, values: list[Column], rank_by: Column) ->
 
 def deviation_steps(p: Prepared, flag: Column) -> list[dict[str, Column]]:
     """Helper columns that name the column farthest from its mean."""
-    return _cited(p, flag, p.standardised(), F.transform("_arr", F.abs))
+    z = p.standardised()
+    return _cited(p, flag, z, F.array(*[F.abs(v) for v in z]))
 
 
 def deviation_reason(prefix: Column, threshold: float | None, stat: Column) -> Column:
@@ -48,7 +50,7 @@ def fit_zscore(p: Prepared, rate: float) -> Model:
     cut = critical_z(rate, len(p.numeric))
     z = [(x - F.lit(m.mean)) / F.lit(m.sd) if m.sd else F.lit(0.0) for x, m in zip(p.numbers, p.moments)]
     score, flag = F.col("_s"), F.col("_s") > cut
-    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.transform("_arr", F.abs))]
+    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.array(*[F.abs(v) for v in z]))]
     text = F.format_string(REASONS["zscore"], "_name", "_text", "_v", F.lit(cut))
     why = reason(text, F.col("_name"), F.col("_text"), F.col("_v"), cut)
     return Model("zscore", projection("zscore", steps, score, flag, why), cut, {"z_critico": cut})
@@ -86,7 +88,7 @@ def fit_mad(p: Prepared, rate: float) -> Model:
         else:
             z.append((x - F.lit(c)) / F.lit(mom.sd) if mom.sd else F.lit(0.0))
     score, flag = F.col("_s"), F.col("_s") > MAD_CUT
-    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.transform("_arr", F.abs))]
+    steps = [{"_s": largest([F.abs(v) for v in z])}, *_cited(p, flag, z, F.array(*[F.abs(v) for v in z]))]
     middle = pick([readable(c) for c in med], F.col("_j"))
     text = F.format_string(REASONS["mad"], "_name", "_text", "_v", middle, F.lit(str(MAD_CUT)))
     why = reason(text, F.col("_name"), F.col("_text"), F.col("_v"), MAD_CUT)

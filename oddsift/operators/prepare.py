@@ -78,12 +78,15 @@ def profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
         .withColumn("filled", is_filled(F.col("raw")) & ~(F.col("typed").isNull() & (F.col("raw") == "NaN")
                                                           & ~F.col("position").isin(texts)))
     )
-    summary = counts.groupBy("position").agg(
-        F.sum("cnt").alias("rows"),
-        F.coalesce(F.sum(F.when(F.col("filled"), F.col("cnt"))), F.lit(0)).alias("filled"),
-        F.coalesce(F.sum(F.when(F.col("filled") & F.col("num").isNotNull(), F.col("cnt"))), F.lit(0)).alias("parsed"),
-        F.count_distinct(F.when(F.col("filled"), F.col("num"))).alias("numbers"),
-        F.count_distinct(F.when(F.col("filled"), F.col("raw"))).alias("unique"),
+    # one row per column and number, then one per column; no distinct aggregate has to expand the texts
+    by_number = counts.groupBy("position", "num").agg(
+        F.sum("cnt").alias("rows"), F.sum(F.when(F.col("filled"), F.col("cnt")).otherwise(0)).alias("filled"),
+        F.count_if("filled").alias("texts"),
+    )
+    parsed = F.col("num").isNotNull() & (F.col("filled") > 0)
+    summary = by_number.groupBy("position").agg(
+        F.sum("rows").alias("rows"), F.sum("filled").alias("filled"), F.sum("texts").alias("unique"),
+        F.sum(F.when(parsed, F.col("filled")).otherwise(0)).alias("parsed"), F.count_if(parsed).alias("numbers"),
     )
     numeric = (F.col("filled") > 0) & (F.col("parsed") >= NUMERIC_SHARE * F.col("filled")) & (F.col("numbers") > 2)
     return summary.select(

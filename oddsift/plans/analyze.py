@@ -318,5 +318,6 @@ def analyze(df: DataFrame, params: Parameters, row_id: str = "row_id") -> Analys
     """Run the chosen methods and write their results once."""
     params.check(df.columns)
     p = prepare(df, params.numeric_columns, params.categorical_columns, row_id)
+    p.df = materialize(p.df, "prepared")  # every method scans it, and text is then parsed only once
     fitted = fit(p, params.models, params.threshold)
     return Analysis(df, row_id, params, p, fitted, materialize(fitted.add(p.df), "results"))
