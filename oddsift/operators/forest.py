@@ -99,7 +99,9 @@ def grow_forest(p: Prepared, trees: int = TREES, size: int = SAMPLE, seed: int =
         return pd.DataFrame({"tree": [tree], "feature": [feature], "cut": [cut], "length": [length]})
 
     schema = "tree int, feature array<int>, cut array<double>, length array<double>"
-    grown = tree_samples(p, trees, size, seed).groupBy("tree").applyInPandas(build, schema).toPandas().sort_values("tree")
+    cores = p.df.sparkSession.sparkContext.defaultParallelism
+    dealt = tree_samples(p, trees, size, seed).repartition(min(trees, 2 * cores), "tree")
+    grown = dealt.groupBy("tree").applyInPandas(build, schema).toPandas().sort_values("tree")
     stacked = tuple(np.stack(grown[c].to_numpy()) for c in ("feature", "cut", "length"))
     return stacked, depth, size
 
