@@ -370,6 +370,8 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
         so_far = sum((F.col(f"w_{i}") for i in range(m + 1)), F.lit(0)) - 1
         level = F.when(so_far >= k, m).otherwise(level)
     first = materialize(points.join(around.withColumn("level", level), "gid"), "mismatch-levels")
+    levels = sorted(r["level"] for r in first.select("level").distinct().collect())  # at most size + 1 of them
+    depth = levels[-1]
 
     gap = [math.sqrt(2.0 * m) for m in range(depth + 1)]
 
@@ -387,12 +389,12 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
         return out
 
     by_level = mismatch_sums(
-        first, keys, count, {f"l{b}": F.when(F.col("level") == b, F.col("w")).otherwise(0) for b in range(depth + 1)}, depth
+        first, keys, count, {f"l{b}": F.when(F.col("level") == b, F.col("w")).otherwise(0) for b in levels}, depth
     )
     second = first.join(by_level, "gid")
 
     def reach(m: int) -> Column:
-        return sum((F.col(f"l{b}_{m}") * max(gap[b], gap[m]) for b in range(depth + 1)), F.lit(0.0))
+        return sum((F.col(f"l{b}_{m}") * max(gap[b], gap[m]) for b in levels), F.lit(0.0))
 
     own_reach = F.element_at(F.array(*[F.lit(g) for g in gap]), F.col("level") + 1)
     staged = second.select(

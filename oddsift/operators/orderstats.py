@@ -40,7 +40,7 @@ class OrderStat:
 
 @dataclass(frozen=True)
 class Ranks:
-    """An expression without nulls, its total weight, and 0-based ascending ranks."""
+    """An expression, the total weight of its values (nulls do not count), and 0-based ascending ranks."""
 
     expr: Column
     total: int
@@ -109,7 +109,8 @@ def _placed_cells(df: DataFrame, wanted: Mapping[str, Ranks], cuts: dict[str, li
     """(series, place, value, w): where each value lies among the cuts of its expression."""
     flat = df.select(*[wanted[name].expr.cast("double").alias(f"v{i}") for i, name in enumerate(cuts)], w.alias("w"))
     cells = ", ".join(f"{i}, {_place(f'v{i}', cuts[name])}, v{i}" for i, name in enumerate(cuts))
-    return flat.selectExpr(f"stack({len(cuts)}, {cells}) as (series, place, value)", "w")
+    placed = flat.selectExpr(f"stack({len(cuts)}, {cells}) as (series, place, value)", "w")
+    return placed.filter(F.col("value").isNotNull())
 
 
 def _place(v: str, cuts: list[float]) -> str:
@@ -220,7 +221,7 @@ def quantiles(
     rows: int | None = None,
     group_rows: int | None = None,
 ) -> dict[str, dict[float, float]]:
-    """Exact linear-interpolation quantiles: name -> (expression, total weight, shares)."""
+    """Exact linear-interpolation quantiles: name -> (expression, total weight of its values, shares)."""
     ranks = {}
     for name, (expr, n, shares) in wanted.items():
         need = {r for q in shares for r in _linear_ranks(n, q)[:2]}

@@ -186,9 +186,7 @@ def prepare(
     rows, filled, moments = _moments(slim, [F.col(f"r{j}") for j in range(len(raw))])
     kept = [j for j in range(len(raw)) if filled[j]]
     gaps = {f"r{j}": (F.col(f"r{j}"), filled[j], [0.5]) for j in kept if filled[j] < rows}
-    medians: dict[str, float] = {}
-    for name, (x, n, _) in gaps.items():
-        medians[name] = quantiles(slim.filter(x.isNotNull()), {name: (x, n, [0.5])})[name][0.5]
+    medians = {name: q[0.5] for name, q in quantiles(slim, gaps).items()} if gaps else {}
     numbers = []
     for new, j in enumerate(kept):
         x = F.col(f"r{j}")
