@@ -997,6 +997,16 @@ def random_baseline(spark, sf):
 _MEANS = ", ".join(f"round(avg({c}), 6) as {c}" for c in evaluate.METRICS)
 
 
+@query("mean_per_dataset", f"{_GRID} select model as modelo, dataset, {_MEANS} from named group by model, dataset")
+def mean_per_dataset(spark, sf):
+    """The table as it is written for readers: through its CSV file and back."""
+    path = scratch(spark, "means")
+    got = evaluate.mean_per_dataset(evaluation(spark, sf))
+    sinks.write_table(got.select("modelo", "dataset", *[F.round(c, 6).alias(c) for c in evaluate.METRICS]), path)
+    numbers = ", ".join(f"{c} double" for c in evaluate.METRICS)
+    return spark.read.option("header", True).schema(f"modelo string, dataset string, {numbers}").csv(path)
+
+
 @query("mean_per_model", f"{_GRID} select model as modelo, {_MEANS} from named group by model")
 def mean_per_model(spark, sf):
     got = evaluate.mean_per_model(evaluate.mean_per_dataset(evaluation(spark, sf)))

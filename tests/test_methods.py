@@ -151,3 +151,18 @@ def test_category_scores_match_pandas_on_the_shuffled_path(spark, monkeypatch):
 
 def test_column_pairs_stop_at_the_limit():
     assert len(categorical.column_pairs(24)) == 276 and len(categorical.column_pairs(30)) == 300
+
+
+def test_fitted_closed_forms_score_a_stream(spark, planted_numbers, tmp_path):
+    x, _ = planted_numbers
+    p = prepare(frame(spark, x), list("abcd"))
+    fitted = fit(p, ["zscore", "mahalanobis"], 0.02)
+    folder = str(tmp_path / "rows")
+    p.df.write.parquet(folder)
+    stream = fitted.add(spark.readStream.schema(p.df.schema).parquet(folder)).select("row_id", "zscore_flag", "mahalanobis_flag")
+    q = stream.writeStream.format("memory").queryName("scored_stream").option("checkpointLocation", str(tmp_path / "cp")).start()
+    q.processAllAvailable()
+    q.stop()
+    got = spark.table("scored_stream").toPandas().sort_values("row_id", ignore_index=True)
+    want = fitted.add(p.df).select(*got.columns).toPandas().sort_values("row_id", ignore_index=True)
+    assert got.equals(want)
