@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, jaccard, langid, rules
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, rules
 from oddsift.llm.base import crc_of, table
+from oddsift.session import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -28,6 +31,12 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.score(docs, rules.references(docs))
 
 
+def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_folder(spark)}/ids-{uuid.uuid4().hex}"
+    idfiles.write(table(spark, sf_dir, "documents"), path, WORD_BPE)
+    return idfiles.digest(spark, path)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(3)) == 1, F.lit(False))
@@ -39,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
+    "op7_id_files": op7_id_files,
     "op9_language_id": op9_language_id,
 }
 
