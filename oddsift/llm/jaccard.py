@@ -7,10 +7,12 @@ to the overlap they need. Each class picks its own ``l`` by estimated cost: long
 for more matches before a pair is verified. A pair becomes a candidate when it shares as many prefix shingles as the
 smaller of its two choices.
 
-Only classes that are not yet connected need comparing. So the first round verifies, for each prefix shingle, each
-class against the first class with that shingle and against its neighbour in the list: a group of near copies costs
-its size, not its square. The second round takes all pairs with a common prefix shingle from different groups of the
-first, and verifies those with enough matches; nothing is capped, so no link is missed.
+Pairs come from posting lists of the first ``m - need(m) + 1`` shingles. Only classes that are not yet connected need
+comparing. So the first round takes, for each list, each class with the list's first class and with its neighbour: a
+group of near copies costs its size, not its square. The second round takes all pairs of a list from different groups
+of the first whose places in the list leave room for the overlap that their sizes ask for. Either round's pairs are
+candidates if they share enough prefix shingles, and linked if their whole sets say so; nothing is capped, so no link
+is missed.
 
 Similarity is exact integer arithmetic on 64-bit shingle hashes. Classes are named by 64 bits of a set's digest: n
 sets fall together by chance with probability n * n / 2 ** 65.
@@ -155,20 +157,34 @@ def prepare(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     return docs.mapInArrow(run, "doc_id bigint, n bigint, class bigint, asked int, prefix array<bigint>")
 
 
-def shared_postings(prepared: DataFrame) -> DataFrame:
-    """Postings of prefix shingles that two classes or more have, each with the list's first class and the one before."""
-    postings = prepared.where("prefix is not null").select("class", "n", "asked", F.explode("prefix").alias("token"))
+def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
+    """Postings of prefix shingles that two classes or more have, each with the list's first class and the one before.
+
+    ``most`` is the largest set that a class can be linked with if this is the first shingle they share: what is left
+    of its own set from there on bounds their overlap.
+    """
+    short = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
+    postings = prepared.where("prefix is not null").select("class", "n", F.posexplode(short).alias("place", "token"))
     row = Window.partitionBy("token").orderBy("class")
     upto = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = postings.select(
-        "token", "class", "n", "asked",
+        "token", "class", "n", (F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")).alias("most"),
         F.first("class").over(upto).alias("head"), F.first("n").over(upto).alias("head_n"),
         F.lag("class").over(row).alias("before"), F.lag("n").over(row).alias("before_n"), F.lead("class").over(row).alias("after"),
     )
-    # a class written by several tasks stands there several times: the first is kept, and lists of one class go
-    first = F.col("before").isNull() | (F.col("before") != F.col("class"))
-    alone = (F.col("head") == F.col("class")) & F.coalesce(F.col("after") == F.col("class"), F.lit(True))
-    return listed.where(first & (~alone | (F.col("after") == F.col("class")))).drop("after")
+    # a class that several tasks wrote stands there several times: the first is kept, and lists of one class go
+    repeated = F.coalesce(F.col("before") == F.col("class"), F.lit(False))
+    others = (F.col("head") != F.col("class")) | F.coalesce(F.col("after") != F.col("class"), F.lit(False))
+    return listed.where(~repeated & (others | (F.col("after") == F.col("class")))).drop("after")
+
+
+def enough_matches(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as the smaller of their two choices."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+    prefixes = prepared.where("prefix is not null").select("class", "asked", "prefix").join(wanted, "class").dropDuplicates(["class"])
+    first, second = prefixes.toDF("a", "p", "x"), prefixes.toDF("b", "q", "y")
+    both = pairs.join(first, "a").join(second, "b")
+    return both.where(F.size(F.array_intersect("x", "y")) >= F.least("p", "q")).select("a", "b")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, prepared: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -235,33 +251,33 @@ def group(
     """doc_id, n_shingles and component_id (least id that links reach, its own included) of every row."""
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     prepared = materialize(prepare(docs, width, num, den), "prefixes")
-    shared = materialize(shared_postings(prepared), "postings")
+    shared = materialize(shared_postings(prepared, num, den), "postings")
+
+    def linked(pairs: DataFrame) -> DataFrame:
+        candidates = materialize(enough_matches(materialize(pairs, "pairs"), prepared), "candidates")
+        return materialize(verify(candidates, docs, prepared, width, num, den), "links")
 
+    others = F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_n").alias("m")) for c in ("head", "before")]))
+    stars = shared.select("class", "n", others.alias("o")).select("class", "n", "o.c", "o.m")
     near = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    stars = shared.select("class", "n", F.explode(F.array(F.struct(F.col("head").alias("c"), F.col("head_n").alias("m")), F.struct(F.col("before").alias("c"), F.col("before_n").alias("m")))).alias("o"))
-    stars = stars.select("class", "n", "o.c", "o.m").where((F.col("c") != F.col("class")) & near)
-    tried = materialize(stars.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct(), "pairs")
-    links = materialize(verify(tried, docs, prepared, width, num, den), "links")
-    labels = components(links)
-
-    # second round: pairs from different groups of the first
-    labelled = shared.join(labels, "class", "left").select("token", "class", "n", "asked", F.coalesce("label", "class").alias("label"))
+    stars = stars.where((F.col("c") != F.col("class")) & near)
+    labels = components(linked(stars.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct()))
+
+    # second round: pairs of a list from different groups of the first, the larger set or the greater name first
+    labelled = shared.join(labels, "class", "left").select("token", "class", "n", "most", F.coalesce("label", "class").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     labelled = materialize(labelled.join(mixed, "token"), "mixed")
-    groups = labelled.select("token", "label").distinct()
-    apart = groups.select("token", F.col("label").alias("l")).join(groups.select("token", F.col("label").alias("r")), "token").where("l < r")
-    one = labelled.select("token", F.col("label").alias("l"), F.col("class").alias("a"), F.col("n").alias("n"), F.col("asked").alias("p"))
-    two = labelled.select("token", F.col("label").alias("r"), F.col("class").alias("b"), F.col("n").alias("m"), F.col("asked").alias("q"))
-    met = apart.join(one, ["token", "l"]).join(two, ["token", "r"]).where(near)
-    met = met.groupBy("a", "b").agg(F.count("*").alias("matches"), F.first(F.least("p", "q")).alias("asked")).where("matches >= asked")
-    more = met.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).join(tried, ["a", "b"], "left_anti")
-    more = verify(materialize(more, "pairs"), docs, prepared, width, num, den)
+    groups = labelled.groupBy("token", F.col("label").alias("r"), F.col("n").alias("m")).agg(F.max("most").alias("reach"))
+    fits = (F.col("m") <= F.col("n")) & near & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("reach")) & (F.col("label") != F.col("r"))
+    one = labelled.join(groups, "token").where(fits).select("token", "r", "m", F.col("class").alias("a"), F.col("n").alias("k"))
+    two = labelled.select("token", F.col("label").alias("r"), F.col("n").alias("m"), F.col("class").alias("b"), "most")
+    met = one.join(two, ["token", "r", "m"]).where((F.col("k") <= F.col("most")) & ((F.col("m") < F.col("k")) | (F.col("b") < F.col("a"))))
+    more = linked(met.select("a", "b").distinct())
     labels = components(labels.select(F.col("class").alias("a"), F.col("label").alias("b")).union(more))
 
     classes = prepared.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("least"))
     classes = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-    found = classes.groupBy("label").agg(F.min("least").alias("component_id"), F.count("*").alias("size"))
-    # a class alone with one document needs no look-up, but a class may have many documents
+    found = classes.groupBy("label").agg(F.min("least").alias("component_id"))
     by_class = materialize(classes.join(found, "label").select("class", "component_id"), "components")
     rows = prepared.select("doc_id", F.col("n").alias("n_shingles"), "class").join(by_class, "class", "left")
     return rows.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))

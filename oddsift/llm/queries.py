@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, rules
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, rules
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -37,6 +37,10 @@ def op7_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.digest(spark, path)
 
 
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_texts(table(spark, sf_dir, "documents"), WORD_BPE)
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     held_out = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(3)) == 1, F.lit(False))
@@ -49,6 +53,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_id_files": op7_id_files,
+    "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
 }
 
