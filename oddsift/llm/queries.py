@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, rules
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, rules, secrets, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -18,6 +18,16 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return secrets.scan(docs, secrets.pair_ratios(secrets.labelled_strings(spark, docs)))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    return urls.judge(pages, urls.train(urls.labels_from_rules(pages, urls.RULES)), urls.RULES)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest(table(spark, sf_dir, "documents"), byte_bpe.read_ranks(BYTE_RANKS), public_tokenizers.PATTERN)
 
@@ -49,6 +59,8 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_secret_scans": op2_secret_scans,
+    "op3_url_filters": op3_url_filters,
     "op4_byte_bpe": op4_byte_bpe,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_quality_rules": op6_quality_rules,

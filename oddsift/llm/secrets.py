@@ -1,0 +1,163 @@
+"""Secret scans: fixed patterns, and character Markov models of random strings against ordinary identifiers.
+
+All of it is DataFrame functions. Places of matches come from the stretches between them: a split by the pattern and
+the list of its matches together give every start and end in code points.
+
+The models count character pairs in labelled strings, smoothed by one. A run of ``CANDIDATE`` characters is a secret if
+the log-likelihood ratio summed over its pairs is at least ``MIN_RATIO`` (the logarithm of the odds against secrets
+in ordinary text), and it overlaps no match of a fixed pattern.
+
+Defined cases: a null text is empty and has no spans; the hash is that of the empty string then. Repeated rows each
+get a result row. An empty table gives an empty result. Only the id and text columns are read.
+"""
+
+from __future__ import annotations
+
+import math
+import string
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+@dataclass(frozen=True)
+class Kind:
+    name: str
+    pattern: str
+    group: int
+    shortest: int
+
+
+# The base patterns, the group whose length counts, and the length it needs.
+BASE = [
+    Kind("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8),
+    Kind("access", r"AKIA[A-Z0-9]+", 0, 16),
+    Kind("hex", r"[0-9a-f]+", 0, 32),
+]
+ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
+CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+MIN_RATIO = 14.0
+NAMES = [k.name for k in BASE] + [CANDIDATE.name]
+MASK = "[SECRET]"
+
+# Parts of ordinary identifiers.
+PARTS = (
+    "get set add user name file path data list item index value key count total order date time start stop read write open close "
+    "page text line word table column row node link host port server client request response error message status result type "
+    "class object method field model view test build main init load save update delete create find sort filter merge split"
+).split()
+
+
+def matches(text: Column, kind: Kind, order: int, keep: Column | None = None) -> Column:
+    """array<struct<start, kind, end, value>> of a pattern's leftmost matches whose group is long enough."""
+    gaps = F.split(text, kind.pattern, -1)
+    whole = F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0))
+    value = whole if kind.group == 0 else F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(kind.group))
+    empty = F.array().cast("array<struct<start:bigint,kind:int,end:bigint,value:string>>")
+
+    def step(state: Column, m: Column) -> Column:
+        start = state["at"] + F.length(m["gap"])
+        end = start + F.coalesce(F.length(m["whole"]), F.lit(0))
+        span = F.struct(start.alias("start"), F.lit(order).alias("kind"), end.alias("end"), m["value"].alias("value"))
+        grown = F.when(F.length(m["value"]) >= kind.shortest, F.array_append(state["spans"], span)).otherwise(state["spans"])
+        return F.struct(end.alias("at"), grown.alias("spans"))
+
+    steps = F.arrays_zip(gaps.alias("gap"), whole.alias("whole"), value.alias("value"))
+    return F.aggregate(steps, F.struct(F.lit(0).cast("bigint").alias("at"), empty.alias("spans")), step, lambda s: s["spans"])
+
+
+# ---------------------------------------------------------------- models
+
+
+def labelled_strings(spark: SparkSession, docs: DataFrame | None = None, text: str = "text", max_docs: int = 400) -> DataFrame:
+    """Rows (value, random): digests in usual encodings, and identifiers joined from ordinary words.
+
+    With ``docs``, words of about ``max_docs`` documents drawn by a hash are ordinary too.
+    """
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    coded = F.base64(F.unhex(digest))
+    upper = F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))
+    random = spark.range(3000).select(F.explode(F.array(coded, F.translate(coded, "+/", "-_"), digest, F.concat(upper, F.reverse(upper)))).alias("value"))
+    parts = F.array(*[F.lit(p) for p in PARTS])
+    picked = [F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int")) for k in range(4)]
+    joined = [F.concat_ws(s, *picked) for s in ("_", "-", "/", "")] + [F.concat(*map(F.initcap, picked)), F.concat_ws("_", *map(F.upper, picked))]
+    ordinary = spark.range(1000).select(F.explode(F.array(*joined)).alias("value"))
+    if docs is not None:
+        rows = docs.count()
+        drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_docs / max(rows, 1))))
+        words = drawn.select(F.col(text).alias("t")).distinct().select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z][A-Za-z_/-]{3,}"), F.lit(0))).alias("value"))
+        ordinary = ordinary.unionAll(words.distinct())
+    return random.select("value", F.lit(True).alias("random")).unionAll(ordinary.select("value", F.lit(False).alias("random")))
+
+
+def pair_ratios(labelled: DataFrame) -> list[float]:
+    """For each pair of characters of the alphabet, log P(second | first) if random less that if ordinary."""
+    size = len(ALPHABET)
+    places = F.sequence(F.lit(1), F.length("value") - 1)
+    pairs = labelled.where((F.length("value") > 1) & F.col("random").isNotNull())
+    pairs = pairs.select("random", F.explode(F.transform(places, lambda i: F.substring(F.col("value"), i, F.lit(2)))).alias("pair"))
+    # at most two rows for each pair of the alphabet come to the driver
+    counts = {(r.random, r.pair): r.n for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
+    rows = {(k, a): sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (True, False) for a in ALPHABET}
+    chance = {k: {a + b: (counts.get((k, a + b), 0) + 1) / (rows[k, a] + size) for a in ALPHABET for b in ALPHABET} for k in (True, False)}
+    return [math.log(chance[True][a + b] / chance[False][a + b]) for a in ALPHABET for b in ALPHABET]
+
+
+def ratio(value: Column, ratios: list[float]) -> Column:
+    """The summed log-likelihood ratio of a string over the alphabet."""
+    table = F.split(F.lit(",".join(f"{r:.6g}" for r in ratios)), ",").cast("array<double>")
+
+    def place(i: Column) -> Column:
+        return F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
+
+    places = F.sequence(F.lit(1), F.length(value) - 1)
+    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1)))
+
+
+# ---------------------------------------------------------------- scan
+
+
+def spans_of(text: Column, ratios: list[float]) -> tuple[Column, Column]:
+    """The spans of the fixed patterns, and candidates of the models, each sorted."""
+    base = F.array_sort(F.concat(*[matches(text, k, i) for i, k in enumerate(BASE)]))
+    return base, F.filter(matches(text, CANDIDATE, len(BASE)), lambda s: ratio(s["value"], ratios) >= MIN_RATIO)
+
+
+def listed(spans: Column) -> Column:
+    names = F.array(*[F.lit(n) for n in NAMES])
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s["kind"] + 1), s["start"], s["end"])), ",")
+
+
+def with_spans(docs: DataFrame, ratios: list[float], text: Column, base: str, spans: str) -> DataFrame:
+    """``docs`` with the sorted base spans and the sorted spans of all kinds."""
+    fixed, found = spans_of(F.coalesce(text, F.lit("")), ratios)
+    docs = docs.withColumn(base, fixed).withColumn(spans, found)
+    free = F.filter(F.col(spans), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    return docs.withColumn(spans, F.array_sort(F.concat(F.col(base), free)))
+
+
+def scan(docs: DataFrame, ratios: list[float], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, counts per base kind, the hash of the base spans and the list of all spans of every document."""
+    rows = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
+    rows = with_spans(rows, ratios, F.col("text"), "base", "found")
+
+    def count(kind: int) -> Column:
+        return F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("bigint").alias(f"n_{BASE[kind].name}")
+
+    counts = [count(i) for i in range(len(BASE))]
+    return rows.select("doc_id", *counts, F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("found")).alias("spans"))
+
+
+def redact(docs: DataFrame, ratios: list[float], text: str, spans: str, base: str) -> DataFrame:
+    """``docs`` with every span of the text replaced by ``MASK``; ``spans`` and ``base`` name columns to use between."""
+    rows = with_spans(docs, ratios, F.col(text), base, spans)
+
+    def step(state: Column, s: Column) -> Column:
+        before = F.substring(F.col(text), (state["at"] + 1).cast("int"), F.greatest(s["start"] - state["at"], F.lit(0)).cast("int"))
+        out = F.when(s["start"] >= state["at"], F.concat(state["out"], before, F.lit(MASK))).otherwise(state["out"])
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), out.alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
+    whole = F.aggregate(spans, start, step, lambda s: F.concat(s["out"], F.substring(F.col(text), (s["at"] + 1).cast("int"), F.length(text))))
+    return rows.withColumn(text, F.when(F.size(spans) > 0, whole).otherwise(F.col(text))).drop(spans, base)
