@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, rules, secrets, urls
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, rules, secret_scan, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -20,7 +20,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, secrets.pair_ratios(secrets.labelled_strings(spark, docs)))
+    return secret_scan.scan(docs, secret_scan.pair_ratios(secret_scan.labelled_strings(spark, docs)))
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return permindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_secret_scans": op2_secret_scans,
     "op3_url_filters": op3_url_filters,
@@ -67,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_id_files": op7_id_files,
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
+    "op10_permutation_index": op10_permutation_index,
 }
 
 #: all ten need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
