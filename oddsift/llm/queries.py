@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, rules, secret_scan, urls
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, quality_net, rules, secret_scan, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -18,6 +18,14 @@ WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(5)) == 0, F.lit(False))
+    vectors = quality_net.contexts(docs.select("text"))
+    scored = quality_net.score(docs, quality_net.train(docs, labels, ~held_out, vectors), vectors)
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op2_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secret_scan.scan(docs, secret_scan.pair_ratios(secret_scan.labelled_strings(spark, docs)))
@@ -63,6 +71,7 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
     "op3_url_filters": op3_url_filters,
     "op4_byte_bpe": op4_byte_bpe,
