@@ -8,10 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import langid, rules
-from oddsift.llm.base import crc_of
+from oddsift.llm import jaccard, langid, packing, rules, secret_scan
+from oddsift.llm.base import crc_of, spare_name
 from oddsift.session import materialize
 
+WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -26,9 +27,38 @@ def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return rules.keep(docs, rules.references(docs))
 
 
+def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each group of documents that five-word shingles at a similarity of 0.8 link.
+
+    Of rows that share that id one stays. Rows without an id, or without shingles, all stay, though of rows that share
+    an id only one does.
+    """
+    groups = jaccard.group(docs, width=5, num=80, den=100)
+    gone = groups.where("component_id < doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    keyed = docs.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
+    return keyed.join(gone, keyed["doc_id"] == F.col("gone"), "left_anti").unionByName(docs.where(F.col("doc_id").isNull()))
+
+
+def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks every secret in the texts and counts ``n_chars`` anew; all documents stay."""
+    spans, base = spare_name(docs.columns, "spans"), spare_name(docs.columns, "base_spans")
+    masked = secret_scan.redact(docs, secret_scan.pair_ratios(secret_scan.labelled_strings(spark, docs)), "text", spans, base)
+    if "n_chars" in docs.columns:
+        masked = masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return masked.select(*docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document, packed into sequences of at most 2048 tokens."""
+    return packing.pack_texts(docs, WORD_BPE, with_ids=True)
+
+
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_stage),
     ("quality_rules", rules_stage),
+    ("ngram_jaccard", jaccard_stage),
+    ("secret_scans", secrets_stage),
+    ("packing", packing_stage),
 ]
 
 #: language scores and packing are beyond SQL; tests hold the stages against brute force
