@@ -201,7 +201,8 @@ def train(
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 tables.setdefault(name, Counter()).update(word_runs(body))
         for name, c in tables.items():
-            yield pa.RecordBatch.from_pydict({"lang": [name] * len(c), "word": list(c), "n": list(c.values())})
+            columns = [pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
 
     counted = drawn.select(F.col(lang).alias("lang"), F.col(text).alias("text")).mapInArrow(count, "lang string, word string, n bigint")
     counted = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
