@@ -608,7 +608,7 @@ def models_by_anomalies(spark, sf):
 
 @query("top_rows", f"""{_ANALYSIS}, {_BY_MODEL},
 t5 as (select *, row_number() over (partition by model order by score desc, event_id) rn from l where flag)
-select model, event_id + 1 as "row", round(score, 6) as score from t5 where rn <= 500""")
+select model, event_id + 1 as "row", round(score, 6) as score from t5""")
 def top_rows(spark, sf):
     return event_analysis(spark, sf).top_rows().select("model", "row", F.round("score", 6).alias("score"))
 
@@ -619,7 +619,7 @@ _ORDERED = "row_number() over (order by votes desc, cons desc, event_id)"
 @query("consensus_rows", f"""{_ANALYSIS}, r6 as (select *, {_ORDERED} rn from a3 where votes > 0)
 select event_id + 1 as "row", votes, round(cons, 6) as consensus_score, event_type as value_event_type, hr as value_hr,
        cast(votes as bigint) as reasons
-from r6 where rn <= 500""")
+from r6""")
 def consensus_rows(spark, sf):
     return event_analysis(spark, sf).consensus().select(
         "row", "votes", F.round("consensus_score", 6).alias("consensus_score"),
@@ -628,14 +628,14 @@ def consensus_rows(spark, sf):
 
 
 @query("report_page", f"""{_ANALYSIS}, r6 as (select *, {_ORDERED} rn from a3 where votes > 0)
-select event_id, votes, round(cons, 6) as consensus_score from r6 where rn > 50 and rn <= 75""")
+select event_id, votes, round(cons, 6) as consensus_score from r6 where rn > 500 and rn <= 525""")
 def report_page(spark, sf):
-    return event_analysis(spark, sf).page(2).select(
+    return event_analysis(spark, sf).page(20).select(
         F.col("row_id").alias("event_id"), "votes", F.round("consensus_score", 6).alias("consensus_score"))
 
 
 @query("printed_rows", f"""{_ANALYSIS}, r6 as (select *, {_ORDERED} rn from a3 where votes > 0)
-select event_id, votes, least(500, (select count(*) from r6)) as listed, cast(least(60, (select count(*) from r6)) as bigint) as shown
+select event_id, votes, (select count(*) from r6) as listed, cast(least(60, (select count(*) from r6)) as bigint) as shown
 from r6 where rn <= 60""")
 def printed_rows(spark, sf):
     return event_analysis(spark, sf).printed().select(
@@ -689,7 +689,7 @@ def top_share(spark, sf):
     return event_analysis(spark, sf).top_share().select("column", "top", F.round("top_share", 6).alias("top_share"))
 
 
-@query("scatter")
+@query("scatter", f"""{_ANALYSIS} select event_id + 1 as "row", value as x, k as y, votes from a3""")
 def scatter(spark, sf):
     return event_analysis(spark, sf).scatter()
 
@@ -740,7 +740,7 @@ def regional_csv(spark, sf):
 
 
 @query("report_document", f"""{_ANALYSIS}
-select count(*) as rows, cast(least(500, count(*) filter (where votes > 0)) as bigint) as consensus_rows, cast(3 as bigint) as models,
+select count(*) as rows, count(*) filter (where votes > 0) as consensus_rows, cast(3 as bigint) as models,
        cast(4 as bigint) as histogram_rows from v""")
 def report_document(spark, sf):
     path = scratch(spark, "document")
@@ -780,6 +780,20 @@ def read_sheet(spark, sf):
     return df.select(F.col("cliente").cast("bigint").alias("c_custkey"), "nome", scalars.to_num(F.col("saldo")).alias("saldo"), "segmento")
 
 
+@query("read_mixed_folder", "select c_custkey, 'ção ' || c_name as nome, c_acctbal as saldo from customer")
+def read_mixed_folder(spark, sf):
+    """Files of two encodings, separators and column orders, read as one table."""
+    path = scratch(spark, "mixed")
+    df = table(spark, sf, "customer").select(
+        F.col("c_custkey").alias("cliente"), F.concat(F.lit("ção "), F.col("c_name")).alias("nome"),
+        scalars.regional_text(F.col("c_acctbal").cast("decimal(18,2)")).alias("saldo"))
+    even = F.col("cliente") % 2 == 0
+    df.filter(even).write.options(sep=";", header=True, encoding="ISO-8859-1").csv(f"{path}/a")
+    df.filter(~even).select("saldo", "nome", "cliente").write.options(sep="\t", header=True).csv(f"{path}/b")
+    got = sheets.read_sheet(spark, [f"{path}/a", f"{path}/b"])
+    return got.select(F.col("cliente").cast("bigint").alias("c_custkey"), "nome", scalars.to_num(F.col("saldo")).alias("saldo"))
+
+
 @query("sheet_row_numbers", "select count(*) as rows, count(*) as distinct_ids, cast(0 as bigint) as low, count(*) - 1 as high from customer")
 def sheet_row_numbers(spark, sf):
     rows = sheets.read_csv(spark, customer_sheets(spark, sf))
@@ -788,17 +802,28 @@ def sheet_row_numbers(spark, sf):
         F.max("row_id").alias("high"))
 
 
-@query("content_fingerprint", "select doc_id, sha256(text) as sha256 from documents")
+@query("content_fingerprint", """
+select r_name, octet_length(encode(r_name || chr(10))) as length, sha256(r_name || chr(10)) as sha256 from region""")
 def content_fingerprint(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+    """Each region's name as the one line of a file of its own."""
+    path = scratch(spark, "fingerprints")
+    table(spark, sf, "region").select(F.col("r_name").alias("folder"), F.col("r_name").alias("value")).write.partitionBy("folder").text(path)
+    return sheets.fingerprints(spark, f"{path}/folder=*").select(
+        F.url_decode(F.regexp_extract("path", "folder=([^/]*)/", 1)).alias("r_name"), "length", "sha256")
 
 
-@query("file_checks", "select 'too large' as reason, cast(1 as boolean) as found where (select count(*) from customer) > 0")
+@query("file_checks", """
+select case when n_nationkey < 8 then 'too large' when n_nationkey < 16 then 'unsupported kind' else 'no data rows' end as reason, count(*) as files
+from nation group by 1""")
 def file_checks(spark, sf):
-    path = customer_sheets(spark, sf)
-    files = sheets.files(spark, path).agg(F.count(F.lit(1)).alias("n"))
-    bad = sheets.rejects(spark, path, max_bytes=1).groupBy("reason").agg(F.count(F.lit(1)).alias("bad"))
-    return bad.crossJoin(F.broadcast(files)).select("reason", (F.col("bad") == F.col("n")).alias("found"))
+    """A file per nation: long ones, ones of another kind, and ones with a header only."""
+    path, key = scratch(spark, "checks"), F.col("n_nationkey")
+    rows = table(spark, sf, "nation").select(
+        F.col("n_nationkey").alias("folder"), F.when(key < 8, F.repeat("n_name", F.lit(1000))).otherwise(F.col("n_name")).alias("value"), key)
+    kinds = ((key < 8) | (key >= 16), "csv"), ((key >= 8) & (key < 16), "dat")
+    for which, kind in kinds:
+        rows.filter(which).select("folder", "value").write.mode("append").partitionBy("folder").format("csv" if kind == "csv" else "text").save(f"{path}/{kind}")
+    return sheets.rejects(spark, f"{path}/*/folder=*", max_bytes=2000).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
 # ---------------------------------------------------------------- audit log
@@ -837,8 +862,9 @@ def audit_older_than(spark, sf):
 @query("audit_retention", """
 select case when doc_id * 5 > 600 then 'removed' else 'kept' end as state, cast(doc_id as varchar) as id from documents""")
 def audit_retention(spark, sf):
-    removed, kept = audit_log(spark, sf).retain(10, NOW)
-    return removed.select(F.lit("removed").alias("state"), "id").unionByName(kept.select(F.lit("kept").alias("state"), "id"))
+    log = audit_log(spark, sf)
+    removed = log.retain(10, NOW)
+    return removed.select(F.lit("removed").alias("state"), "id").unionByName(log.files().select(F.lit("kept").alias("state"), "id"))
 
 
 @query("audit_history", f"""{_ANALYSIS}, {_BY_MODEL},

@@ -13,7 +13,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from oddsift.functions.dist import binom_cdf, sidak_rate
@@ -25,10 +25,8 @@ from oddsift.operators.orderstats import BROADCAST_ROWS, join_on_values, top_cut
 from oddsift.operators.prepare import Prepared
 from oddsift.session import materialize
 
-# The pair limit, the p-value floor and the category limit of the neighbour method.
-MAX_PAIRS = 300
+# The p-value floor and the least neighbours of the neighbour method.
 MIN_P_VALUE = 1e-300
-MAX_CATEGORIES = 50
 LOF_MIN = 20
 
 FULL_DEPTH_COLUMNS = 6  # up to here every subset of columns is summed at once (at most 64)
@@ -86,8 +84,8 @@ def relative_frequencies(p: Prepared) -> DataFrame:
     return joined.select("row_id", *[f"f{j}" for j in range(c.size)])
 
 
-def column_pairs(size: int, limit: int = MAX_PAIRS) -> list[tuple[int, int]]:
-    return list(itertools.combinations(range(size), 2))[:limit]
+def column_pairs(size: int) -> list[tuple[int, int]]:
+    return list(itertools.combinations(range(size), 2))
 
 
 def _value_arrays(c: Combinations, values: DataFrame) -> DataFrame:
@@ -124,7 +122,7 @@ def _pair_arrays(c: Combinations, pairs: Sequence[tuple[int, int]]) -> DataFrame
     bound = c.count * len(pairs)
     hit = join_on_values(_pair_cells(c, pairs, ["first_row"]), table, ["k", "va", "vb"], "combos", c.count,
                          F.col("first_row"), bound)
-    cells = F.sort_array(F.collect_list(F.struct("k", "cnt")))  # at most MAX_PAIRS entries
+    cells = F.sort_array(F.collect_list(F.struct("k", "cnt")))  # one entry per pair
     return hit.groupBy("first_row").agg(F.transform(cells, lambda x: x["cnt"]).alias("joint"))
 
 
@@ -292,22 +290,6 @@ def neighbour_count(n: int) -> int:
     return min(max(LOF_MIN, int(math.sqrt(n))), n - 1)
 
 
-def pooled(c: Combinations) -> tuple[DataFrame, list[str]]:
-    """Combinations with g0..: in columns of many values all but the most frequent share one category."""
-    big = [j for j, (kinds, _) in enumerate(c.kinds) if kinds > MAX_CATEGORIES]
-    kept: dict[int, list[str]] = {j: [] for j in big}
-    if big:
-        order = Window.partitionBy("j").orderBy(F.desc("cnt"), F.desc("v"))
-        frequent = c.values.filter(F.col("j").isin(big)).withColumn("place", F.row_number().over(order))
-        for r in frequent.filter(F.col("place") < MAX_CATEGORIES).select("j", "v").collect():
-            kept[r["j"]].append(r["v"])
-    cols = []
-    for j, key in enumerate(c.keys):
-        own = F.concat(F.lit("="), F.col(key))
-        cols.append((F.when(F.col(key).isin(kept[j]), own).otherwise("~") if j in kept else own).alias(f"g{j}"))
-    return c.df.select("first_row", "w", *cols), [f"g{j}" for j in range(c.size)]
-
-
 def mismatch_sums(df: DataFrame, keys: Sequence[str], count: int, measures: dict[str, Column], depth: int) -> DataFrame:
     """(gid, {name}_{m}): sums of each measure over the combinations that differ in exactly m columns.
 
@@ -351,11 +333,8 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
     the last distance share the remaining neighbour places by weight, so equal rows get equal scores.
     """
     k = neighbour_count(c.rows)
-    flat, keys = pooled(c)
-    points = materialize(
-        flat.groupBy(*keys).agg(F.sum("w").alias("w"), F.min("first_row").alias("gid"), F.count(F.lit(1)).alias("parts")),
-        "pooled-combinations",
-    )
+    keys = c.keys
+    points = c.df.withColumnRenamed("first_row", "gid")
     size, count = len(keys), c.count
     depth = size if size <= FULL_DEPTH_COLUMNS else FIRST_DEPTHS
     while True:
@@ -420,6 +399,5 @@ def category_outlier_factors(c: Combinations) -> DataFrame:
 
     last = last.select(*third.columns, *[density(m).alias(f"_d{m}") for m in range(depth + 1)])
     factor = neighbourhood(lambda m: F.col(f"_d{m}"), F.col("lrd")) / k / F.col("lrd")
-    last = last.select(*keys, "parts", F.when(F.col("dense"), 1.0).otherwise(factor).alias("_factor"))
-    table = last.select(*keys, "parts", significant(F.col("_factor"), SCORE_DIGITS).alias("cat_lof"))
-    return join_on_values(flat, table, keys, "parts", count, F.col("first_row"), c.count).select("first_row", "cat_lof")
+    scored = F.when(F.col("dense"), 1.0).otherwise(factor)
+    return last.select(F.col("gid").alias("first_row"), significant(scored, SCORE_DIGITS).alias("cat_lof"))

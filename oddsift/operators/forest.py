@@ -40,18 +40,14 @@ def expected_depth(rows: int) -> float:
 def tree_samples(p: Prepared, trees: int, size: int, seed: int) -> DataFrame:
     """(tree, place, n0..): ``size`` rows per tree, without replacement inside a tree."""
     cols = [f"n{j}" for j in range(len(p.numeric))]
-    if p.rows > trees * size:
-        # one hash per row draws a pool that is then dealt to the trees
-        draw = F.pmod(F.xxhash64("row_id", F.lit(seed)), F.lit(HASH_RANGE))
-        want = trees * size * 1.1 + 1_000
-        pool = p.df.select("row_id", *cols, draw.alias("draw")).filter(F.col("draw") < int(HASH_RANGE * min(1.0, want / p.rows)))
-        place = F.row_number().over(Window.orderBy("draw", "row_id")) - 1
-        dealt = pool.withColumn("place", place).filter(F.col("place") < trees * size)
-        return dealt.select(F.pmod("place", F.lit(trees)).alias("tree"), "place", *cols)
-    each = p.df.select("row_id", *cols, F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    draw = F.pmod(F.xxhash64("row_id", "tree", F.lit(seed)), F.lit(HASH_RANGE))
-    share = min(1.0, (2 * size + 64) / p.rows)
-    near = each.withColumn("draw", draw).filter(F.col("draw") < int(HASH_RANGE * share))
+    below = int(HASH_RANGE * min(1.0, (2 * size + 64) / p.rows))
+
+    def draw(tree):
+        return F.pmod(F.xxhash64("row_id", tree, F.lit(seed)), F.lit(HASH_RANGE))
+
+    # a row is copied only for the trees that may want it
+    wanted = F.filter(F.sequence(F.lit(0), F.lit(trees - 1)), lambda t: draw(t) < below)
+    near = p.df.select("row_id", *cols, F.explode(wanted).alias("tree")).withColumn("draw", draw(F.col("tree")))
     place = F.row_number().over(Window.partitionBy("tree").orderBy("draw", "row_id")) - 1
     return near.withColumn("place", place).filter(F.col("place") < size).select("tree", "place", *cols)
 

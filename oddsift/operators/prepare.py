@@ -49,7 +49,7 @@ def with_row_id(df: DataFrame, name: str = "row_id", order: Sequence[str] = ())
         parts.groupBy(*block).agg(F.count(F.lit(1)).alias("_n"), F.min("_at").alias("_first"))
         .select(*block, "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"))
     )
-    out = parts.join(blocks, block).withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first"))
+    out = parts.join(F.broadcast(blocks), block).withColumn(name, F.col("_offset") + F.col("_at") - F.col("_first"))
     return out.select(name, *[quoted(c) for c in df.columns])
 
 
@@ -172,6 +172,14 @@ def _moments(df: DataFrame, columns: Sequence[Column]) -> tuple[int, list[int],
     return r["rows"], [r[f"k{j}"] for j in range(len(columns))], got
 
 
+def check_row_id(df: DataFrame, row_id: str) -> None:
+    """Rows are told apart by their id, so a null or repeated one is an error."""
+    ids = df.groupBy(quoted(row_id).alias("id")).agg(F.count(F.lit(1)).alias("n"))
+    bad = ids.filter(F.col("id").isNull() | (F.col("n") > 1)).first()
+    if bad is not None:
+        raise ValueError(f"{row_id} must be unique and not null: {bad['id']} stands in {bad['n']} rows")
+
+
 def prepare(
     df: DataFrame,
     numeric: Sequence[str] = (),
@@ -183,6 +191,7 @@ def prepare(
     raw = [to_num(quoted(c), kinds[c]) for c in numeric]
     cats = [category(quoted(c)).alias(f"c{j}") for j, c in enumerate(categorical)]
     slim = df.select(quoted(row_id).alias("row_id"), *[x.alias(f"r{j}") for j, x in enumerate(raw)], *cats)
+    check_row_id(df, row_id)
     rows, filled, moments = _moments(slim, [F.col(f"r{j}") for j in range(len(raw))])
     kept = [j for j in range(len(raw)) if filled[j]]
     gaps = {f"r{j}": (F.col(f"r{j}"), filled[j], [0.5]) for j in kept if filled[j] < rows}
@@ -200,7 +209,7 @@ def prepare(
 
 
 def equal_width_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> DataFrame:
-    """Replace number columns by right-closed equal-width bins ``f0..``; few-valued ones by their text."""
+    """Replace number columns by right-closed equal-width bins ``f0..``; few-valued ones by their text. Null stays null."""
     stats = df.agg(*[
         a for j, c in enumerate(columns)
         for a in (F.min(quoted(c)).alias(f"a{j}"), F.max(quoted(c)).alias(f"b{j}"),
@@ -215,7 +224,10 @@ def equal_width_bins(df: DataFrame, columns: Sequence[str], bins: int = 10) -> D
         if j in close and exact[f"d{j}"] <= bins:
             replaced[c] = quoted(c).cast("string")
             continue
+        if stats[f"a{j}"] is None:
+            replaced[c] = F.lit(None).cast("string")
+            continue
         edges = np.linspace(stats[f"a{j}"], stats[f"b{j}"], bins + 1)[1:-1]
         place = sum((F.when(x > float(e), 1).otherwise(0) for e in edges), F.lit(0))
-        replaced[c] = F.concat(F.lit("f"), place.cast("string"))
+        replaced[c] = F.when(x.isNotNull(), F.concat(F.lit("f"), place.cast("string")))
     return df.select(*[replaced[c].alias(c) if c in replaced else quoted(c) for c in df.columns])

@@ -18,12 +18,12 @@ from oddsift.operators.prepare import MISSING, Prepared, prepare, quoted
 from oddsift.operators.registry import Fitted, fit
 from oddsift.session import materialize
 
-# Sizes of report tables.
-MAX_REPORT_ROWS = 500
-MAX_SCATTER_POINTS = 2000
-SCATTER_SEED = 0
+# Usual sizes of a page and of a printed list, and the seed of a drawn scatter table.
 PAGE_ROWS = 25
 PRINTED_ROWS = 60
+SCATTER_SEED = 0
+
+SMALL_LIST = 10_000  # up to here a list's rows may be broadcast
 
 
 class InvalidParameters(ValueError):
@@ -129,15 +129,16 @@ class Analysis:
     def models_by_anomalies(self) -> DataFrame:
         return self.model_summary().orderBy(F.desc("anomalies"), "id")
 
-    def top_rows(self, limit: int = MAX_REPORT_ROWS) -> DataFrame:
-        """Flagged rows per model by falling score, at most ``limit`` each; rows count from 1."""
+    def top_rows(self, limit: int | None = None) -> DataFrame:
+        """Flagged rows per model by falling score, all or at most ``limit`` each; rows count from 1."""
         tables = []
         for m in self.models:
             best = (
                 self.wide.filter(F.col(f"{m}_flag"))
                 .select("row_id", F.col(f"{m}_score").alias("score"), F.col(f"{m}_reason.message").alias("reason"))
-                .orderBy(F.desc("score"), "row_id").limit(limit)
+                .orderBy(F.desc("score"), "row_id")
             )
+            best = best if limit is None else best.limit(limit)
             tables.append(best.select(F.lit(m).alias("model"), (F.col("row_id") + 1).alias("row"), "score", "reason"))
         out = tables[0]
         for t in tables[1:]:
@@ -168,9 +169,11 @@ class Analysis:
         voted = self.votes.filter(F.col("votes") > 0)
         return voted.join(self.consensus_scores, "row_id").orderBy(F.desc("votes"), F.desc("consensus_score"), "row_id")
 
-    def consensus(self, limit: int = MAX_REPORT_ROWS) -> DataFrame:
-        """The report's main list: (row, votes, consensus_score, values, reasons)."""
-        top = F.broadcast(self.ranked_consensus().limit(limit))
+    def consensus(self, limit: int | None = None) -> DataFrame:
+        """The report's main list, whole or its first ``limit`` rows: (row, votes, consensus_score, values, reasons)."""
+        top = self.ranked_consensus()
+        if limit is not None:
+            top = F.broadcast(top.limit(limit)) if limit <= SMALL_LIST else top.limit(limit)
         columns = [*self.params.numeric_columns, *self.params.categorical_columns]
         kinds = {f.name: f.dataType.typeName() for f in self.source.schema.fields}
         def shown(c: str) -> Column:
@@ -191,16 +194,13 @@ class Analysis:
 
     def page(self, number: int, size: int = PAGE_ROWS) -> DataFrame:
         """One page of the consensus list, counted from 0."""
-        top = self.ranked_consensus().limit(MAX_REPORT_ROWS)
-        order = [F.desc("votes"), F.desc("consensus_score"), "row_id"]
-        return top.orderBy(*order).offset(number * size).limit(size)
+        return self.ranked_consensus().offset(number * size).limit(size)
 
-    def printed(self) -> DataFrame:
-        """The first rows for print, each with the number shown and the number in the list."""
-        listed = self.ranked_consensus().limit(MAX_REPORT_ROWS)
+    def printed(self, rows: int = PRINTED_ROWS) -> DataFrame:
+        """The first rows for print, each with the number shown and the number in the whole list."""
+        listed = self.ranked_consensus()
         total = listed.agg(F.count(F.lit(1)).alias("listed"))
-        shown = listed.limit(PRINTED_ROWS)
-        return shown.crossJoin(F.broadcast(total)).withColumn("shown", F.least(F.lit(PRINTED_ROWS), F.col("listed")))
+        return listed.limit(rows).crossJoin(F.broadcast(total)).withColumn("shown", F.least(F.lit(rows), F.col("listed")))
 
     def numeric_statistics(self) -> DataFrame:
         """Spread of each imputed number column; ``missing`` counts the nulls of the raw column."""
@@ -235,15 +235,14 @@ class Analysis:
     def top_share(self) -> DataFrame:
         return self.categorical_statistics().withColumn("top_share", F.col("top_freq") / F.col("count"))
 
-    def scatter(self, points: int = MAX_SCATTER_POINTS) -> DataFrame | None:
-        """(row, x, y, votes) of the first two number columns: a seeded draw and the first flagged rows."""
+    def scatter(self, points: int | None = None) -> DataFrame | None:
+        """(row, x, y, votes) of the first two number columns: all rows, or a seeded draw and all flagged rows."""
         if len(self.params.numeric_columns) < 2 or self.prepared.numeric[:2] != list(self.params.numeric_columns[:2]):
             return None
         flat = self.wide.select("row_id", F.col("n0").alias("x"), F.col("n1").alias("y"), self._votes().alias("votes"))
-        if self.prepared.rows > points:
+        if points is not None:
             drawn = flat.orderBy(F.xxhash64("row_id", F.lit(SCATTER_SEED)), "row_id").limit(points)
-            flagged = flat.filter(F.col("votes") > 0).orderBy("row_id").limit(MAX_REPORT_ROWS)
-            flat = drawn.unionByName(flagged).dropDuplicates(["row_id"])
+            flat = drawn.unionByName(flat.filter(F.col("votes") > 0)).dropDuplicates(["row_id"])
         return flat.select((F.col("row_id") + 1).alias("row"), "x", "y", "votes")
 
     def cited(self) -> DataFrame:
@@ -251,9 +250,7 @@ class Analysis:
         named = F.array_compact(F.flatten(F.array(*[
             F.array(F.col(f"{m}_reason.column"), F.col(f"{m}_reason.column2")) for m in self.models
         ])))
-        return self.votes.filter(F.col("votes") > 0).select("row_id").join(
-            self.wide.select("row_id", F.array_sort(F.array_distinct(named)).alias("cited")), "row_id"
-        )
+        return self.wide.filter(self._votes() > 0).select("row_id", F.array_sort(F.array_distinct(named)).alias("cited"))
 
     def marked(self) -> DataFrame:
         """The source rows with one 0/1 column per model, the votes and the consensus score."""
@@ -273,8 +270,11 @@ class Analysis:
         flagged = self.votes.filter(F.col("votes") > 0).select(F.col("row_id").alias("_flagged_row"))
         return self.source.join(flagged, quoted(self.row_id) == F.col("_flagged_row"), "left_anti")
 
-    def document(self) -> DataFrame:
-        """The whole report as one nested row; every list in it is bounded by the report sizes."""
+    def document(self, limit: int | None = None, points: int | None = None) -> DataFrame:
+        """The report as one nested row: whole, or with lists of at most ``limit`` rows and ``points`` drawn points.
+
+        A nested row must fit one task; for tables with very many flagged rows give limits, or use the list tables.
+        """
         def listed(df: DataFrame, name: str) -> DataFrame:
             return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
 
@@ -285,7 +285,7 @@ class Analysis:
             F.array(*[F.lit(c) for c in self.params.categorical_columns]).cast("array<string>").alias("categorical_columns"),
             F.lit(self.params.threshold).alias("threshold"),
         ).alias("parameters"))
-        rows = self.top_rows().groupBy("model").agg(
+        rows = self.top_rows(limit).groupBy("model").agg(
             F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_order"), "row", "score", "reason"))).alias("rows")
         )
         models = self.model_summary().join(rows, F.col("id") == F.col("model"), "left").drop("model").withColumn(
@@ -293,7 +293,7 @@ class Analysis:
         )
         doc = params.crossJoin(self.summary().select(F.struct("*").alias("summary")))
         parts = [(models, "models"), (self.votes_histogram().orderBy("votes"), "votes_histogram")]
-        ranked = self.consensus()
+        ranked = self.consensus(limit)
         def earlier(l: Column, r: Column) -> Column:
             return (F.when(l["votes"] != r["votes"], r["votes"] - l["votes"])
                     .when(l["consensus_score"] > r["consensus_score"], -1)
@@ -306,7 +306,7 @@ class Analysis:
             parts.append((self.numeric_statistics(), "numeric_statistics"))
         if self.prepared.categorical:
             parts.append((self.categorical_statistics(), "categorical_statistics"))
-        scatter = self.scatter()
+        scatter = self.scatter(points)
         if scatter is not None:
             parts.append((scatter, "scatter"))
         for df, name in parts:

@@ -1,4 +1,8 @@
-"""The log of inputs and analyses, as two append-only Parquet tables."""
+"""The log of inputs and analyses: append-only Parquet tables, and versions of the table of inputs.
+
+Removing expired inputs writes the survivors as the next version, names it in the table of versions, and then deletes
+the old version's folder. One process at a time may remove; readers see the old or the new version.
+"""
 
 from __future__ import annotations
 
@@ -10,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from oddsift.plans.analyze import Analysis
+from oddsift.plans.analyze import Analysis, Parameters, analyze
+from oddsift.session import materialize
 
 TTL_MINUTES = 10  # fixed value: how long an input is kept
 
@@ -18,6 +23,7 @@ FILES = (
     "id string, filename string, storage_key string, size_bytes bigint, sha256 string, rows bigint, "
     "columns array<struct<name:string,type:string,missing:bigint,unique:bigint>>, created_at timestamp"
 )
+VERSIONS = "version int"
 ANALYSES = (
     "id string, file_id string, filename string, sha256 string, "
     "parameters struct<models:array<string>,numeric_columns:array<string>,categorical_columns:array<string>,threshold:double>, "
@@ -30,20 +36,37 @@ class AuditLog:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
+        if not self._exists("versions"):
+            self._write(spark.createDataFrame([], FILES), "files-0")
+            self._write(spark.createDataFrame([], ANALYSES), "analyses")
+            self._write(spark.createDataFrame([(0,)], VERSIONS), "versions")
 
     def _path(self, table: str) -> str:
         return os.path.join(self.folder, table)
 
+    def _hadoop(self, table: str):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self._path(table))
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()), path
+
+    def _exists(self, table: str) -> bool:
+        system, path = self._hadoop(table)
+        return system.exists(path)
+
+    def _write(self, df: DataFrame, table: str) -> None:
+        df.write.mode("append").parquet(self._path(table))
+
     def _read(self, table: str, schema: str) -> DataFrame:
-        self.spark.createDataFrame([], schema).write.mode("append").parquet(self._path(table))
         return self.spark.read.schema(schema).parquet(self._path(table))
 
+    def _version(self) -> int:
+        return self._read("versions", VERSIONS).agg(F.max("version")).first()[0]
+
     def append_files(self, records: DataFrame) -> None:
         wanted = T.StructType.fromDDL(FILES)
-        records.select(*[F.col(f.name).cast(f.dataType) for f in wanted]).write.mode("append").parquet(self._path("files"))
+        self._write(records.select(*[F.col(f.name).cast(f.dataType) for f in wanted]), f"files-{self._version()}")
 
     def files(self) -> DataFrame:
-        return self._read("files", FILES)
+        return self._read(f"files-{self._version()}", FILES)
 
     def file(self, file_id: str) -> DataFrame:
         return self.files().filter(F.col("id") == file_id)
@@ -54,12 +77,19 @@ class AuditLog:
     def files_older_than(self, limit: datetime) -> DataFrame:
         return older_than(self.files(), limit)
 
-    def retain(self, minutes: int = TTL_MINUTES, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
-        """(removed ids, surviving records); analyses are not touched."""
-        return split_expired(self.files(), minutes, now)
+    def retain(self, minutes: int = TTL_MINUTES, now: datetime | None = None) -> DataFrame:
+        """Remove inputs older than ``minutes`` and return their ids; analyses are not touched."""
+        old = self._version()
+        expired, kept = split_expired(self.files(), minutes, now)
+        removed = materialize(expired, "expired")
+        self._write(kept, f"files-{old + 1}")
+        self._write(self.spark.createDataFrame([(old + 1,)], VERSIONS), "versions")
+        system, path = self._hadoop(f"files-{old}")
+        system.delete(path, True)
+        return removed
 
     def append_analysis(self, a: Analysis, file_id: str, filename: str, sha256: str, now: datetime | None = None) -> None:
-        analysis_record(a, file_id, filename, sha256, now).write.mode("append").parquet(self._path("analyses"))
+        self._write(analysis_record(a, file_id, filename, sha256, now), "analyses")
 
     def analyses(self, file_id: str | None = None) -> DataFrame:
         return history(self._read("analyses", ANALYSES), file_id)
@@ -69,6 +99,15 @@ class AuditLog:
         seen = self.analyses(file_id).filter(F.col("fingerprint") == fingerprint)
         return not seen.isEmpty()
 
+    def analyze_once(self, df: DataFrame, params: Parameters, file_id: str, filename: str, sha256: str, row_id: str = "row_id") -> Analysis | None:
+        """Analyse and log an input, or return None if the log already has it with these parameters."""
+        params.check(df.columns)
+        if self.known(file_id, params.fingerprint()):
+            return None
+        a = analyze(df, params, row_id)
+        self.append_analysis(a, file_id, filename, sha256)
+        return a
+
 
 def older_than(files: DataFrame, limit: datetime) -> DataFrame:
     return files.filter(F.col("created_at") < F.lit(limit))
@@ -76,8 +115,9 @@ def older_than(files: DataFrame, limit: datetime) -> DataFrame:
 
 def split_expired(files: DataFrame, minutes: int = TTL_MINUTES, now: datetime | None = None) -> tuple[DataFrame, DataFrame]:
     limit = (now or datetime.now(timezone.utc)) - timedelta(minutes=minutes)
-    expired = older_than(files, limit).select("id")
-    return expired, files.join(expired, "id", "left_anti")
+    # by the time of each record alone: a record with the id of an older one stays
+    young = ~F.coalesce(F.col("created_at") < F.lit(limit), F.lit(False))
+    return older_than(files, limit).select("id"), files.filter(young)
 
 
 def history(analyses: DataFrame, file_id: str | None = None) -> DataFrame:

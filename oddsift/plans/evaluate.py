@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import time
 from collections.abc import Sequence
 
@@ -238,10 +239,18 @@ def synthetic(spark: SparkSession, rate: float, seed: int, rows: int = 2000, col
     extreme = anomalies // 2
     cov = np.array([[0.8 ** abs(i - j) for j in range(columns)] for i in range(columns)])
     root = np.linalg.cholesky(cov)
+
+    def uniform(name: str) -> Column:
+        # from the row alone, so that no partitioning changes the draw
+        return (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(name)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+
+    def normal(name: str) -> Column:
+        return F.sqrt(-2 * F.log(uniform(name + "r"))) * F.cos(2 * math.pi * uniform(name + "a"))
+
     base = spark.range(rows).select(
-        F.col("id").alias("row_id"), *[F.randn(seed * 1000 + j).alias(f"g{j}") for j in range(columns)],
-        *[F.rand(seed * 1000 + 100 + j).alias(f"u{j}") for j in range(columns)],
-        F.rand(seed * 1000 + 200).alias("where"), F.rand(seed * 1000 + 201).alias("sign"), F.rand(seed * 1000 + 202).alias("size"),
+        F.col("id").alias("row_id"), *[normal(f"g{j}").alias(f"g{j}") for j in range(columns)],
+        *[uniform(f"u{j}").alias(f"u{j}") for j in range(columns)],
+        *[uniform(x).alias(x) for x in ("where", "sign", "size")],
     )
     normal_rows = rows - anomalies
     out = []

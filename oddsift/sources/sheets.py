@@ -1,33 +1,26 @@
-"""Reading folders of regional CSV files and workbooks as text tables."""
+"""Reading folders of regional CSV files as text tables."""
 
 from __future__ import annotations
 
-import io
-import re
-import zipfile
-from collections.abc import Iterator, Sequence
-from xml.etree import ElementTree
+from collections.abc import Sequence
+from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from oddsift.functions.scalars import strip
 from oddsift.operators.prepare import quoted
+from oddsift.session import materialize
 
-# Input limits, separators in order of preference, and the texts read as null.
-MAX_BYTES = 50 * 1024 * 1024
-EXTENSIONS = ("csv", "xlsx", "xls")
-HEAD_BYTES = 50_000
-HEAD_LINES = 20
+# Separators in order of preference, and the texts read as null.
+EXTENSIONS = ("csv",)
 SEPARATORS = (";", ",", "\t", "|")
 NULL_TEXTS = (
     "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
     "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
 )
 
-_LINE_END = "\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 _OVERFLOW = "_overflow"
 
 
@@ -49,25 +42,28 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 
 
-def sniff(spark: SparkSession, path: str) -> DataFrame:
-    """(path, encoding, separator) from the first bytes of every file."""
-    return files(spark, path).select("path", *sniff_head(F.substring("content", 1, HEAD_BYTES)))
+def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, first, line) of all lines, their bytes as they are; ``first`` is true of a file's first block."""
+    text = spark.read.text(path)
+    return text.select(
+        F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first"),
+        F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
+    )
 
 
-def sniff_head(head: Column) -> list[Column]:
-    """Encoding and separator of a file head. A character cut off by the head's end does not count."""
-    full = F.octet_length(head) == HEAD_BYTES
-    utf8 = F.is_valid_utf8(head.cast("string"))
-    for cut in (1, 2, 3):
-        utf8 = utf8 | (full & F.is_valid_utf8(F.substring(head, 1, HEAD_BYTES - cut).cast("string")))
-    text = F.when(utf8, F.decode(head, "UTF-8")).otherwise(F.decode(head, "ISO-8859-1"))
-    lines = F.array_join(F.slice(F.split(text, _LINE_END), 1, HEAD_LINES), "\n")
-    counts = [F.length(lines) - F.length(F.replace(lines, F.lit(s), F.lit(""))) for s in SEPARATORS]
-    best = F.array_position(F.array(*counts), F.greatest(*counts)).cast("int")
-    return [
-        F.when(utf8, "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
-        F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), best).alias("separator"),
-    ]
+def sniff(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(path, encoding, separator, head) of every file with a line, judged over all its lines; head is the first."""
+    counts = [F.sum(F.octet_length("line") - F.octet_length(F.replace("line", F.lit(s), F.lit("")))).alias(f"s{i}") for i, s in enumerate(SEPARATORS)]
+    seen = lines(spark, path).groupBy("path").agg(
+        F.bool_and(F.is_valid_utf8("line")).alias("utf8"), *counts,
+        F.min_by(F.when(F.col("first"), F.col("line").cast("binary")), F.when(F.col("first"), F.col("at"))).alias("head"),
+    )
+    places = [F.col(f"s{i}") for i in range(len(SEPARATORS))]
+    best = F.array_position(F.array(*places), F.greatest(*places)).cast("int")
+    return seen.select(
+        "path", F.when(F.col("utf8"), "UTF-8").otherwise("ISO-8859-1").alias("encoding"),
+        F.element_at(F.array(*[F.lit(s) for s in SEPARATORS]), best).alias("separator"), "head",
+    )
 
 
 def _header(names: Sequence[str | None]) -> list[str]:
@@ -82,18 +78,28 @@ def _header(names: Sequence[str | None]) -> list[str]:
     return out
 
 
-def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separator: str | None = None,
-             multiline: bool = True) -> DataFrame:
+def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None = None, separator: str | None = None,
+             multiline: bool = False) -> DataFrame:
     """All-text rows. Lines with too many fields are skipped, short ones padded, null texts become null.
 
-    Quoted line breaks need ``multiline``, which reads each file in one task; switch it off for huge files
-    without them. Sniffing loads whole files, so name encoding and separator for files beyond 2 GB.
+    Each file has its own encoding, separator and header. Files that agree in them are read together; other groups
+    are united by column name and the whole is written once. Quoted line breaks need ``multiline``, which reads each
+    file in one task.
     """
-    if encoding is None or separator is None:
-        first = sniff(spark, path).orderBy("path").first()
-        if first is None:
-            raise InvalidInput(f"no files at {path}")
-        encoding, separator = encoding or first["encoding"], separator or first["separator"]
+    found = sniff(spark, path).orderBy("path").collect()  # one row per file, as many as Spark lists anyway
+    groups: dict[tuple, list[str]] = {}
+    for r in found:
+        groups.setdefault((encoding or r["encoding"], separator or r["separator"], bytes(r["head"] or b"")), []).append(r["path"])
+    if not groups:
+        raise InvalidInput(f"no lines at {path}")
+    if len(groups) == 1:
+        ((enc, sep, _),) = groups
+        return _read_alike(spark, path, enc, sep, multiline)
+    tables = [_read_alike(spark, paths, enc, sep, multiline) for (enc, sep, _), paths in groups.items()]
+    return materialize(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables), "sheets")
+
+
+def _read_alike(spark: SparkSession, path: str | list[str], encoding: str, separator: str, multiline: bool) -> DataFrame:
     reader = (
         spark.read.option("sep", separator).option("encoding", encoding).option("quote", '"').option("escape", '"')
         .option("multiLine", multiline)
@@ -101,7 +107,7 @@ def read_csv(spark: SparkSession, path: str, encoding: str | None = None, separa
     top = reader.option("header", False).csv(path).first()
     if top is None:
         raise InvalidInput(f"no header at {path}")
-    names = _header([None if v is None else v.lstrip("﻿") for v in top])
+    names = _header([None if v is None else v.lstrip("\ufeff") for v in top])
     schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, _OVERFLOW]])
     rows = reader.option("header", True).option("enforceSchema", True).schema(schema).csv(path)
     rows = rows.filter(F.col(_OVERFLOW).isNull())
@@ -127,66 +133,13 @@ def read_sheet(spark: SparkSession, path: str, **options) -> DataFrame:
     return tidy(read_csv(spark, path, **options))
 
 
-def rejects(spark: SparkSession, path: str, max_bytes: int | None = MAX_BYTES) -> DataFrame:
-    """(path, reason) of files that cannot be analysed: too large, wrong kind, or without data rows."""
-    lines = F.filter(F.split(F.decode("content", "ISO-8859-1"), _LINE_END), lambda x: strip(x) != "")
-    kind = _extension(F.col("path"))
+def rejects(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
+    """(path, reason) of files that cannot be analysed: too large (if a limit is given), wrong kind, or no data rows."""
+    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    filled = lines(spark, path).filter(strip(F.col("line")) != "").groupBy("path").agg(F.count(F.lit(1)).alias("filled"))
     too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     reason = (
-        F.when(too_large, "too large").when(~kind.isin(*EXTENSIONS), "unsupported kind")
-        .when((kind == "csv") & (F.size(lines) < 2), "no data rows")
+        F.when(too_large, "too large").when(~_extension(F.col("path")).isin(*EXTENSIONS), "unsupported kind")
+        .when(F.coalesce("filled", F.lit(0)) < 2, "no data rows")
     )
-    return files(spark, path).select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
-
-
-_NS = {"m": "http://schemas.openxmlformats.org/spreadsheetml/2006/main"}
-
-
-def _first_sheet(content: bytes) -> list[list[str | None]]:
-    """Cell texts of a workbook's first sheet, row by row."""
-    with zipfile.ZipFile(io.BytesIO(content)) as z:
-        shared = []
-        if "xl/sharedStrings.xml" in z.namelist():
-            root = ElementTree.fromstring(z.read("xl/sharedStrings.xml"))
-            shared = ["".join(t.text or "" for t in si.iter(f"{{{_NS['m']}}}t")) for si in root.findall("m:si", _NS)]
-        sheets = sorted((n for n in z.namelist() if re.fullmatch(r"xl/worksheets/sheet\d+\.xml", n)),
-                        key=lambda n: int(re.findall(r"\d+", n)[-1]))
-        rows: list[list[str | None]] = []
-        for row in ElementTree.fromstring(z.read(sheets[0])).iter(f"{{{_NS['m']}}}row"):
-            cells: dict[int, str | None] = {}
-            for at, c in enumerate(row.findall("m:c", _NS)):
-                ref, col = re.match(r"[A-Z]*", c.get("r", "")).group(), 0
-                for ch in ref:
-                    col = col * 26 + ord(ch) - 64
-                v, kind = c.find("m:v", _NS), c.get("t")
-                if kind == "inlineStr":
-                    text = "".join(t.text or "" for t in c.iter(f"{{{_NS['m']}}}t"))
-                elif v is None or v.text is None:
-                    text = None
-                else:
-                    text = shared[int(v.text)] if kind == "s" else v.text
-                cells[col - 1 if col else at] = text
-            rows.append([cells.get(i) for i in range(max(cells) + 1)] if cells else [])
-        return rows
-
-
-def read_workbooks(spark: SparkSession, path: str) -> DataFrame:
-    """A folder of XLSX workbooks with one layout as a text table; each workbook is parsed in its own record."""
-    books = spark.read.format("binaryFile").load(path).filter(_extension(F.col("path")) == "xlsx").select("path", "content")
-
-    def cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for book, content in zip(pdf["path"], pdf["content"]):
-                rows = _first_sheet(content)
-                if rows:
-                    head = rows[0]
-                    padded = [(r + [None] * len(head))[:len(head)] for r in rows[1:]]
-                    yield pd.DataFrame({"path": book, "head": [head] * len(padded), "row": range(len(padded)), "cells": padded})
-
-    long = books.mapInPandas(cells, "path string, head array<string>, row int, cells array<string>")
-    first = long.select("head").first()
-    if first is None:
-        raise InvalidInput(f"no workbook rows at {path}")
-    names = _header(first["head"])
-    return tidy(long.select(*[F.when(~F.get("cells", F.lit(i)).isin(*NULL_TEXTS), F.get("cells", F.lit(i))).alias(c)
-                              for i, c in enumerate(names)]))
+    return sizes.join(filled, "path", "left").select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
