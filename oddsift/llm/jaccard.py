@@ -29,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -165,7 +166,8 @@ def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
     """
     short = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
     postings = prepared.where("prefix is not null").select("class", "n", F.posexplode(short).alias("place", "token"))
-    row = Window.partitionBy("token").orderBy("class")
+    # the head is the class with the fewest rarer shingles before this one: the plainest of a family of copies
+    row = Window.partitionBy("token").orderBy("place", "class")
     upto = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = postings.select(
         "token", "class", "n", (F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")).alias("most"),
@@ -187,23 +189,66 @@ def enough_matches(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
     return both.where(F.size(F.array_intersect("x", "y")) >= F.least("p", "q")).select("a", "b")
 
 
+def filter_bits(ids: DataFrame, count: int) -> np.ndarray:
+    """A Bloom filter of the ids: 16 bits an id, up to 2 ** 27 bits (16 MB) whatever their number."""
+    size = 1 << min(27, max(16, (16 * count).bit_length()))
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size, dtype=bool)
+        for batch in batches:
+            bits[bit_places(batch.column(0).to_numpy(zero_copy_only=False), size)] = True
+        blocks = np.packbits(bits).reshape(-1, min(size // 8, 1 << 13))
+        for i in np.flatnonzero(blocks.any(axis=1)):
+            yield pa.RecordBatch.from_arrays([pa.array([int(i)], pa.int32()), pa.array([blocks[i].tobytes()], pa.binary())], ["block", "bits"])
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for i, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                own = np.frombuffer(body, dtype=np.uint8)
+                sums[i] = sums[i] | own if i in sums else own
+        for i, own in sums.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.tobytes()], pa.binary())], ["block", "bits"])
+
+    found = ids.mapInArrow(mark, "block int, bits binary").repartition("block").mapInArrow(unite, "block int, bits binary").collect()
+    out = np.zeros(size // 8, dtype=np.uint8).reshape(-1, min(size // 8, 1 << 13))
+    for r in found:
+        out[r.block] = np.frombuffer(r.bits, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def bit_places(ids: np.ndarray, size: int) -> np.ndarray:
+    """Two places for each id, one row each."""
+    value = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    mask = np.uint64(size - 1)
+    return np.stack((value & mask, (value >> np.uint64(32)) & mask), axis=1).astype(np.int64)
+
+
 def verify(pairs: DataFrame, docs: DataFrame, prepared: DataFrame, width: int, num: int, den: int) -> DataFrame:
-    """The pairs (a, b) of classes that reach the similarity, from the texts of one document each."""
+    """The pairs (a, b) of classes that reach the similarity, from the texts of one document each.
+
+    A filter of those documents' ids keeps other texts out of the shuffle; what it lets through besides does no harm.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
     holder = prepared.where("prefix is not null").groupBy("class").agg(F.min("doc_id").alias("doc_id"))
-    chosen = wanted.join(holder, "class")
+    chosen = materialize(wanted.join(holder, "class").select("doc_id"), "holders")
+    bits = filter_bits(chosen, chosen.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        met: set[int] = set()
         for batch in batches:
-            names = batch.column(1).to_pylist()
-            for t in text_slices(batch.column(0)):
-                keep = [(names[t.first_row + i], v) for i, v in enumerate(shingle_sets(t, width))]
-                keep = [(c, v.view(np.int64)) for c, v in keep if len(v) and class_of(v) == c]
+            batch = batch.filter(pc.is_valid(batch.column(0)))
+            place = bit_places(batch.column(0).to_numpy(zero_copy_only=False), len(bits) * 8)
+            batch = batch.filter(pa.array((bits[place >> 3] >> (7 - (place & 7)) & 1).all(axis=1)))
+            for t in text_slices(batch.column(1)):
+                keep = [(class_of(v), v.view(np.int64)) for v in shingle_sets(t, width) if len(v)]
+                keep = [(c, v) for c, v in keep if c not in met and not met.add(c)]
                 if keep:
                     name, values = zip(*keep, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(name, pa.int64()), pa.array(values, pa.list_(pa.int64()))], ["class", "hashes"])
 
-    sets = docs.join(chosen, "doc_id").select("text", "class").mapInArrow(run, "class bigint, hashes array<bigint>").dropDuplicates(["class"])
+    sets = docs.select("doc_id", "text").mapInArrow(run, "class bigint, hashes array<bigint>")
+    sets = sets.join(wanted, "class", "left_semi").dropDuplicates(["class"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
