@@ -532,6 +532,12 @@ def event_analysis(spark, sf) -> Analysis:
     return _analyses[key]
 
 
+def forget() -> None:
+    """Drop the shared analyses and runs, so that the next query works them out itself."""
+    _analyses.clear()
+    _runs.clear()
+
+
 _Z = critical_z(RATE, 2)
 _ANALYSIS = top_flag(f"""
 with {EVENTS}, {_MOMENTS},
