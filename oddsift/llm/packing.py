@@ -122,10 +122,12 @@ def running(df: DataFrame, key: Column, value: Column, name: str) -> DataFrame:
 # ---------------------------------------------------------------- documents
 
 
-def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def encode(
+    docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, id_bytes: int = 4, doc_id: str = "doc_id", text: str = "text"
+) -> DataFrame:
     """Ids of every document with its row number, the task and class of its rest, and its rank there within the task.
 
-    Running numbers are by task, so write the result before use.
+    Ids take ``id_bytes`` bytes each, 2 or 4. Running numbers are by task, so write the result before use.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -145,6 +147,8 @@ def encode(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAP
                 ranks += np.bincount(kind, minlength=len(ranks))
                 before = full_before + np.cumsum(full) - full
                 full_before += int(full.sum())
+                if id_bytes == 2:
+                    packed = [np.frombuffer(p, dtype="<u4").astype("<u2").tobytes() for p in packed]
                 columns = [np.arange(row, row + len(n)), n, np.full(len(n), part), kind, rank, full, before]
                 row += len(n)
                 yield pa.RecordBatch.from_arrays(
@@ -256,7 +260,7 @@ def overlay(loose: DataFrame, room: DataFrame) -> DataFrame:
     return both.applyInPandas(cut, "row bigint, start bigint, length bigint, sequence_id bigint, offset bigint")
 
 
-def pack(encoded: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) -> DataFrame:
+def pack(encoded: DataFrame, capacity: int = CAPACITY, with_ids: bool = True, id_bytes: int = 4) -> DataFrame:
     """One row per piece with its ids (little-endian unsigned 32-bit) or, without them, their crc32."""
     pieces = place(encoded, capacity).groupBy("row").agg(F.collect_list(F.struct("start", "length", "sequence_id", "offset")).alias("pieces"))
 
@@ -266,8 +270,9 @@ def pack(encoded: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) ->
                 some = batch.slice(at, ROWS)
                 rows = []
                 for doc, n, ids, parts in zip(*(some.column(k).to_pylist() for k in range(4)), strict=True):
+                    ids = np.frombuffer(ids, dtype=f"<u{id_bytes}")
                     for p in parts:
-                        own = ids[4 * p["start"] : 4 * (p["start"] + p["length"])]
+                        own = ids[p["start"] : p["start"] + p["length"]].astype("<u4").tobytes()
                         rows.append((doc, p["start"], p["length"], own if with_ids else zlib.crc32(own), n, p["sequence_id"], p["offset"]))
                 if rows:
                     types = [pa.int64(), pa.int64(), pa.int64(), pa.binary() if with_ids else pa.int64(), *[pa.int64()] * 3]
@@ -280,4 +285,7 @@ def pack(encoded: DataFrame, capacity: int = CAPACITY, with_ids: bool = True) ->
 
 def pack_texts(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """Encode and pack every document."""
-    return pack(materialize(encode(docs, tokenizer, end_id, capacity), "encoded"), capacity, with_ids)
+    from tokenizers import Tokenizer
+
+    id_bytes = 2 if max(Tokenizer.from_file(tokenizer).get_vocab_size(), end_id + 1) <= 1 << 16 else 4
+    return pack(materialize(encode(docs, tokenizer, end_id, capacity, id_bytes), "encoded"), capacity, with_ids, id_bytes)
