@@ -39,17 +39,18 @@ class Ids:
             if x.isascii() and "<|" not in x:
                 x = x.lower()
             split.append(x.replace("\n", " ").split(" "))
-        known = self.chunks
-        missing = [w for w in {w for chunks in split for w in chunks} if w not in known]
-        extra: dict[str, bytes] = {}
+        known, new = self.chunks, set()
+        for chunks in split:
+            new |= set(chunks).difference(known)
+        missing, extra = list(new), []
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
             for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
                 packed = np.array(e.ids, dtype="<u4").tobytes()
-                if len(w) <= LONGEST_CACHED and len(known) < CACHED_CHUNKS:
-                    known[w] = packed
-                else:
-                    extra[w] = packed
-        if extra:
-            return [b"".join([known[w] if w in known else extra[w] for w in chunks]) + self.end for chunks in split]
-        return [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
+                if len(w) > LONGEST_CACHED or len(known) >= CACHED_CHUNKS + len(extra):
+                    extra.append(w)
+                known[w] = packed
+        out = [b"".join(map(known.__getitem__, chunks)) + self.end for chunks in split]
+        for w in extra:
+            del known[w]
+        return out
