@@ -162,15 +162,16 @@ def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
     """Postings of prefix shingles that two classes or more have, each with the list's first class and the one before.
 
     ``most`` is the largest set that a class can be linked with if this is the first shingle they share: what is left
-    of its own set from there on bounds their overlap.
+    of its own set from there on bounds their overlap. ``short`` tells the shingles that a single match asks for from
+    those that a longer prefix adds.
     """
-    short = F.slice("prefix", F.lit(1), (F.col("n") - F.ceil(F.col("n") * num / den) + 1).cast("int"))
-    postings = prepared.where("prefix is not null").select("class", "n", F.posexplode(short).alias("place", "token"))
+    postings = prepared.where("prefix is not null").select("class", "n", "asked", F.posexplode("prefix").alias("place", "token"))
     # the head is the class with the fewest rarer shingles before this one: the plainest of a family of copies
     row = Window.partitionBy("token").orderBy("place", "class")
     upto = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = postings.select(
-        "token", "class", "n", (F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")).alias("most"),
+        "token", "class", "n", "asked", (F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den)).alias("short"),
+        (F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")).alias("most"),
         F.first("class").over(upto).alias("head"), F.first("n").over(upto).alias("head_n"),
         F.lag("class").over(row).alias("before"), F.lag("n").over(row).alias("before_n"), F.lead("class").over(row).alias("after"),
     )
@@ -180,11 +181,14 @@ def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
     return listed.where(~repeated & (others | (F.col("after") == F.col("class")))).drop("after")
 
 
-def enough_matches(pairs: DataFrame, prepared: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many prefix shingles as the smaller of their two choices."""
+def enough_matches(pairs: DataFrame, shared: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as the smaller of their two choices.
+
+    Shingles that only one class has cannot match, so the shared postings of a class stand for its prefix.
+    """
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    prefixes = prepared.where("prefix is not null").select("class", "asked", "prefix").join(wanted, "class").dropDuplicates(["class"])
-    first, second = prefixes.toDF("a", "p", "x"), prefixes.toDF("b", "q", "y")
+    lists = shared.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("asked").alias("asked"), F.collect_list("token").alias("tokens"))
+    first, second = lists.toDF("a", "p", "x"), lists.toDF("b", "q", "y")
     both = pairs.join(first, "a").join(second, "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= F.least("p", "q")).select("a", "b")
 
@@ -299,17 +303,17 @@ def group(
     shared = materialize(shared_postings(prepared, num, den), "postings")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        candidates = materialize(enough_matches(materialize(pairs, "pairs"), prepared), "candidates")
+        candidates = materialize(enough_matches(materialize(pairs, "pairs"), shared), "candidates")
         return materialize(verify(candidates, docs, prepared, width, num, den), "links")
 
     others = F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_n").alias("m")) for c in ("head", "before")]))
-    stars = shared.select("class", "n", others.alias("o")).select("class", "n", "o.c", "o.m")
+    stars = shared.where("short").select("class", "n", others.alias("o")).select("class", "n", "o.c", "o.m")
     near = F.least("n", "m") * den >= F.greatest("n", "m") * num
     stars = stars.where((F.col("c") != F.col("class")) & near)
     labels = components(linked(stars.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct()))
 
     # second round: pairs of a list from different groups of the first, the larger set or the greater name first
-    labelled = shared.join(labels, "class", "left").select("token", "class", "n", "most", F.coalesce("label", "class").alias("label"))
+    labelled = shared.where("short").join(labels, "class", "left").select("token", "class", "n", "most", F.coalesce("label", "class").alias("label"))
     mixed = labelled.groupBy("token").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("token")
     labelled = materialize(labelled.join(mixed, "token"), "mixed")
     groups = labelled.groupBy("token", F.col("label").alias("r"), F.col("n").alias("m")).agg(F.max("most").alias("reach"))
