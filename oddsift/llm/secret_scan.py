@@ -3,9 +3,10 @@
 All of it is DataFrame functions. Places of matches come from the stretches between them: a split by the pattern and
 the list of its matches together give every start and end in code points.
 
-The models count character pairs in labelled strings, smoothed by one. A run of ``CANDIDATE`` characters is a secret if
-the log-likelihood ratio summed over its pairs is at least ``MIN_RATIO`` (the logarithm of the odds against secrets
-in ordinary text), and it overlaps no match of a fixed pattern.
+The models count character pairs in labelled strings, smoothed by one. A stretch of a run of ``CANDIDATE`` characters is
+a secret if the log-likelihood ratio summed over its pairs is at least ``MIN_RATIO`` (the logarithm of the odds against
+secrets in ordinary text). Its span is widened to the signs around it, and over parts of at most three characters next
+to it. It stands beside the matches of fixed patterns, unless one of them covers it whole.
 
 Defined cases: a null text is empty and has no spans; the hash is that of the empty string then. Repeated rows each
 get a result row. An empty table gives an empty result. Only the id and text columns are read.
@@ -36,7 +37,9 @@ BASE = [
     Kind("hex", r"[0-9a-f]+", 0, 32),
 ]
 ALPHABET = string.ascii_lowercase + string.ascii_uppercase + string.digits + "+/_=-"
-CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{20,}", 0, 20)
+CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{16,}", 0, 16)
+#: from the last character of a stretch: the rest of its part, and up to eight short parts after it
+BESIDE = r"^(?:[A-Za-z0-9]++|(?=[+/_=-]))(?:[+/_=-][A-Za-z0-9]{0,3}+(?![A-Za-z0-9])){0,8}+"
 MIN_RATIO = 14.0
 NAMES = [k.name for k in BASE] + [CANDIDATE.name]
 MASK = "[SECRET]"
@@ -104,24 +107,67 @@ def pair_ratios(labelled: DataFrame) -> list[float]:
     return [math.log(chance[True][a + b] / chance[False][a + b]) for a in ALPHABET for b in ALPHABET]
 
 
-def ratio(value: Column, ratios: list[float]) -> Column:
-    """The summed log-likelihood ratio of a string over the alphabet."""
+def stretches(value: Column, ratios: list[float]) -> Column:
+    """array<struct<from, to>> of a string's stretches whose pairs' log-likelihood ratios sum to at least ``MIN_RATIO``.
+
+    A stretch begins where the running sum was last not above zero, and ends at its largest sum. It is closed when the
+    sum is back at zero or has fallen by ``MIN_RATIO``, so ordinary text before, after or between secrets hides none.
+    """
     table = F.split(F.lit(",".join(f"{r:.6g}" for r in ratios)), ",").cast("array<double>")
+    codes = F.transform(F.split(value, ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    pairs = F.length(value) - 1
+    sign = ALPHABET.index("+") + 1  # from here on; lines of one sign are ordinary
+
+    def score(a: Column, b: Column) -> Column:
+        return F.when((a == b) & (a >= sign), F.lit(0.0)).otherwise(F.element_at(table, (a - 1) * len(ALPHABET) + b))
 
-    def place(i: Column) -> Column:
-        return F.instr(F.lit(ALPHABET), F.substring(value, i, F.lit(1)))
+    scores = F.zip_with(F.slice(codes, 1, pairs), F.slice(codes, 2, pairs), score)
+    zero, none = F.lit(0.0), F.array().cast("array<struct<from:int,to:int>>")
 
-    places = F.sequence(F.lit(1), F.length(value) - 1)
-    return F.aggregate(places, F.lit(0.0), lambda a, i: a + F.element_at(table, (place(i) - 1) * len(ALPHABET) + place(i + 1)))
+    def closed(s: Column) -> Column:
+        return F.when(s["best"] >= MIN_RATIO, F.array_append(s["done"], F.struct(s["from"].alias("from"), s["to"].alias("to")))).otherwise(s["done"])
+
+    def step(s: Column, r: Column) -> Column:
+        total, at = s["total"] + r, s["at"] + 1
+        over = (total <= 0) | (total <= s["best"] - MIN_RATIO)
+        more = total > s["best"]
+        return F.struct(
+            at.alias("at"), F.when(over, zero).otherwise(total).alias("total"), F.when(over, at).otherwise(s["from"]).alias("from"),
+            F.when(over, zero).when(more, total).otherwise(s["best"]).alias("best"), F.when(more, at + 1).otherwise(s["to"]).alias("to"),
+            F.when(over, closed(s)).otherwise(s["done"]).alias("done"),
+        )
+
+    start = F.struct(F.lit(0).alias("at"), zero.alias("total"), F.lit(0).alias("from"), zero.alias("best"), F.lit(0).alias("to"), none.alias("done"))
+    return F.aggregate(scores, start, step, closed)
 
 
 # ---------------------------------------------------------------- scan
 
 
 def spans_of(text: Column, ratios: list[float]) -> tuple[Column, Column]:
-    """The spans of the fixed patterns, and candidates of the models, each sorted."""
+    """The spans of the fixed patterns, and those of the models, each sorted."""
     base = F.array_sort(F.concat(*[matches(text, k, i) for i, k in enumerate(BASE)]))
-    return base, F.filter(matches(text, CANDIDATE, len(BASE)), lambda s: ratio(s["value"], ratios) >= MIN_RATIO)
+
+    def within(run: Column) -> Column:
+        value = run["value"]
+
+        def span(s: Column) -> Column:
+            left = F.reverse(F.substring(value, F.lit(1), s["from"] + 1))
+            right = F.substring(value, s["to"], F.length(value))
+            start = s["from"] + 1 - F.greatest(reach(left), F.lit(1))
+            end = s["to"] - 1 + F.greatest(reach(right), F.lit(1))
+            return F.struct(
+                (run["start"] + start).alias("start"), F.lit(len(BASE)).alias("kind"), (run["start"] + end).alias("end"),
+                F.substring(value, start + 1, end - start).alias("value"),
+            )
+
+        return F.transform(stretches(value, ratios), span)
+
+    return base, F.array_distinct(F.flatten(F.transform(matches(text, CANDIDATE, len(BASE)), within)))
+
+
+def reach(text: Column) -> Column:
+    return F.length(F.regexp_extract(text, BESIDE, 0))
 
 
 def listed(spans: Column) -> Column:

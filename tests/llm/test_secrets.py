@@ -1,0 +1,50 @@
+"""Secrets joined to ordinary text, to each other and to matches of the fixed patterns."""
+
+import random
+import re
+import string
+
+import pytest
+from pyspark.sql import functions as F
+
+from oddsift.llm import secret_scan
+
+PATHS = ["", "usr/local/share/configuration/credentials/", "api/v1/users/session/download/attachment/document/", "home/user/projects/settings/"]
+
+
+@pytest.fixture(scope="module")
+def ratios(spark):
+    return secret_scan.pair_ratios(secret_scan.labelled_strings(spark))
+
+
+def masked(spark, ratios, texts):
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(8)
+    return [r.text for r in secret_scan.redact(rows, ratios, "text", "spans", "base").orderBy("doc_id").collect()]
+
+
+def keys(n, size, seed):
+    g = random.Random(seed)
+    return ["".join(g.choice(string.ascii_letters + string.digits) for _ in range(size)) for _ in range(n)]
+
+
+@pytest.mark.parametrize("size", [16, 18, 32])
+def test_joined_secrets_are_masked(spark, ratios, size):
+    for path in PATHS:
+        for tail in ("", "/usr/local/share/configuration"):
+            drawn = keys(50, size, f"{size}{path}{tail}")
+            out = masked(spark, ratios, [f"see {path}{k}{tail} there" for k in drawn])
+            # ordinary parts beside the secret may go with it, but nothing of the secret stays
+            parts = [re.fullmatch(r"see (.*)\[SECRET\](.*) there", t) for t in out]
+            hidden = [m is not None and path.startswith(m[1]) and tail.endswith(m[2]) for m in parts]
+            assert sum(hidden) >= 47, out
+
+
+def test_two_secrets_in_one_run(spark, ratios):
+    a, b = keys(2, 32, "two")
+    (out,) = masked(spark, ratios, [f"{a}/usr/local/share/configuration/credentials/{b}"])
+    assert out.startswith("[SECRET]") and out.endswith("[SECRET]") and "/configuration/" in out
+
+
+def test_ordinary_names_stay(spark, ratios):
+    texts = [p + "get_user_name_from_response" for p in PATHS] + ["=" * 3000, "-" * 20000, "aggregateOrderTotalByCustomerName", "a/b/" * 4000]
+    assert masked(spark, ratios, texts) == texts
