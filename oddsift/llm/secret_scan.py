@@ -176,10 +176,10 @@ def listed(spans: Column) -> Column:
 
 
 def with_spans(docs: DataFrame, ratios: list[float], text: Column, base: str, spans: str) -> DataFrame:
-    """``docs`` with the sorted base spans and the sorted spans of all kinds."""
+    """``docs`` with the sorted base spans and the sorted spans of all kinds, which may overlap."""
     fixed, found = spans_of(F.coalesce(text, F.lit("")), ratios)
     docs = docs.withColumn(base, fixed).withColumn(spans, found)
-    free = F.filter(F.col(spans), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    free = F.filter(F.col(spans), lambda s: ~F.exists(F.col(base), lambda b: (b["start"] <= s["start"]) & (s["end"] <= b["end"])))
     return docs.withColumn(spans, F.array_sort(F.concat(F.col(base), free)))
 
 
