@@ -832,6 +832,56 @@ def file_checks(spark, sf):
     return sheets.rejects(spark, f"{path}/*/folder=*", max_bytes=2000).groupBy("reason").agg(F.count(F.lit(1)).alias("files"))
 
 
+@query("document_hashes", "select doc_id, sha256(text) as sha256 from documents")
+def document_hashes(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", F.sha2(F.encode("text", "UTF-8"), 256).alias("sha256"))
+
+
+def nation_files(spark, sf) -> str:
+    """One file per nation with a line for each of its customers in key order.
+
+    Every third nation's file is of another kind; from nation 20 on, all lines but the first are blank.
+    """
+    path, nation = scratch(spark, "nations"), F.col("c_nationkey")
+    rows = table(spark, sf, "customer")
+    first = rows.groupBy(nation.alias("folder")).agg(F.min("c_custkey").alias("first"))
+    line = F.when((nation >= 20) & (F.col("c_custkey") > F.col("first")), " ").otherwise(F.concat_ws(";", "c_custkey", "c_name"))
+    rows = rows.join(F.broadcast(first), nation == F.col("folder")).select("folder", line.alias("value"), "c_custkey")
+    for kind, those in (("text", F.col("folder") % 3 == 0), ("csv", F.col("folder") % 3 != 0)):
+        files = rows.filter(those).repartition("folder").sortWithinPartitions("folder", "c_custkey").select("folder", "value")
+        files.write.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).partitionBy("folder").format(kind).save(f"{path}/{kind}")
+    return f"{path}/*/folder=*"
+
+
+_NATION_FILES = """
+with f as (select c_custkey, c_nationkey, case when c_nationkey >= 20 and c_custkey > min(c_custkey) over (partition by c_nationkey)
+             then ' ' else c_custkey || ';' || c_name end as line from customer),
+files as (select c_nationkey as nation, count(*) filter (where line <> ' ') as filled,
+            string_agg(line || chr(10), '' order by c_custkey) as content from f group by 1),
+sized as (select nation, filled, octet_length(encode(content)) as length, sha256(content) as sha256 from files)"""
+
+
+def _nation(path: str = "path"):
+    return F.regexp_extract(path, "folder=([^/]*)/", 1).cast("int").alias("nation")
+
+
+@query("customer_file_fingerprints", f"{_NATION_FILES} select nation, length, sha256 from sized")
+def customer_file_fingerprints(spark, sf):
+    return sheets.fingerprints(spark, nation_files(spark, sf)).select(_nation(), "length", "sha256")
+
+
+@query("customer_file_checks", f"""{_NATION_FILES}
+select nation, length, case when length > (select sum(length) // count(*) from sized) then 'too large'
+       when nation % 3 = 0 then 'unsupported kind' when filled < 2 then 'no data rows' end as reason from sized""")
+def customer_file_checks(spark, sf):
+    """The limit is the mean length, so that every reason occurs at every scale."""
+    path = nation_files(spark, sf)
+    sizes = sheets.fingerprints(spark, path).select("path", "length")
+    mean = sizes.agg(F.expr("sum(length) div count(*)").alias("mean")).first()["mean"]
+    bad = sheets.rejects(spark, path, max_bytes=mean)
+    return sizes.join(bad, "path", "left").select(_nation(), "length", "reason")
+
+
 # ---------------------------------------------------------------- audit log
 
 NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)
