@@ -11,7 +11,7 @@ pivot is many tasks. On vectors without structure the share to rerank cannot shr
 queries times entries, in blocks.
 
 Defined cases: a vector that is null, zero, or has a null or non-finite component takes no part, nor does a row with a
-null id or with another than the most frequent dimension. Rows that share an id count as one vector, at its best
+null id. Vectors of different dimensions are not compared. Rows that share an id count as one vector, at its best
 score. A query gets fewer than ``k`` rows only where fewer other rows exist. An empty table gives an empty result.
 """
 
@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -88,17 +89,34 @@ def search(
     table: DataFrame, query: Column, k: int = 5, pivots: int = 128, prefix: int = 64, posts: int = 4, probes: int = 32, share: float = 0.12,
     vec_id: str = "vec_id", vector: str = "embedding",
 ) -> DataFrame:
-    """query_id, rank, vec_id and score of the k nearest rows found for every row that ``query`` (of vec_id) marks."""
+    """query_id, rank, vec_id and score of the k nearest rows found for every row that ``query`` (of vec_id) marks.
+
+    Vectors of each dimension have an index of their own.
+    """
     double = isinstance(table.schema[vector].dataType.elementType, T.DoubleType)
     kind = "<f8" if double else "<f4"
     rows = table.select(F.col(vec_id).cast("bigint").alias("vec_id"), F.col(vector).alias("v")).where("vec_id is not null and v is not null")
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
-    sizes = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    if sizes is None:
+    sizes = sorted(r.d for r in rows.select(F.size("v").alias("d")).distinct().collect())  # one row per dimension
+    if not sizes:
         return table.sparkSession.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    rows = rows.where(F.size("v") == sizes.d)
     asks = F.coalesce(query, F.lit(False))
+    found = [search_alike(rows.where(F.size("v") == d), asks, kind, k, pivots, prefix, posts, probes, share) for d in sizes]
+    if len(found) == 1:
+        return found[0]
+    # an id may have vectors of several dimensions
+    pairs = reduce(DataFrame.unionByName, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    return ranked(pairs, k)
+
+
+def ranked(pairs: DataFrame, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def search_alike(rows: DataFrame, asks: Column, kind: str, k: int, pivots: int, prefix: int, posts: int, probes: int, share: float) -> DataFrame:
+    """``search`` among the rows (vec_id, v) of one dimension."""
     known = materialize(entries(rows, asks, k, kind), "vectors")
     n = known.count()
 
@@ -174,5 +192,4 @@ def search(
 
     askers = rows.where(asks).select("vec_id", "v").mapInArrow(name, "query_id bigint, query binary")
     pairs = askers.join(found, "query").where("query_id != vec_id").groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return ranked(pairs, k)
