@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, quality_net, rules, secret_scan, urls
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, quality_net, repeats, rules, secret_scan, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -70,6 +70,10 @@ def op10_permutation_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return permindex.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.digest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -81,7 +85,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": op8_packing,
     "op9_language_id": op9_language_id,
     "op10_permutation_index": op10_permutation_index,
+    "op11_repeated_passages": op11_repeated_passages,
 }
 
-#: all ten need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
+#: these need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
 ORACLES: dict[str, str] = {}
