@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, packing, permindex, quality_net, repeats, rules, secret_scan, urls
+from oddsift.llm import byte_bpe, idfiles, jaccard, langid, merkle, packing, permindex, quality_net, repeats, rules, secret_scan, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
@@ -74,6 +74,10 @@ def op11_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.digest(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.document_manifest(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -86,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_language_id": op9_language_id,
     "op10_permutation_index": op10_permutation_index,
     "op11_repeated_passages": op11_repeated_passages,
+    "op12_merkle_manifest": op12_merkle_manifest,
 }
 
 #: these need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
