@@ -36,9 +36,14 @@ def spare_name(taken: list[str], wish: str) -> str:
 
 
 def worker_store(name: str) -> dict:
-    """A dict that lives as long as its Python worker, so that later tasks find what earlier ones worked out."""
+    """A dict that outlives its task, so that later tasks of its Python worker find what earlier ones worked out.
+
+    A worker holds one store at a time: asking for another name drops what the last one held.
+    """
     box = sys.modules.setdefault("oddsift_worker_store", types.ModuleType("oddsift_worker_store"))
-    return box.__dict__.setdefault(name, {})
+    if getattr(box, "name", None) != name:
+        box.name, box.store = name, {}
+    return box.store
 
 
 # ---------------------------------------------------------------- text slices

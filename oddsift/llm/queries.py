@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from oddsift.llm import byte_bpe, idfiles, jaccard, langid, merkle, packing, permindex, quality_net, repeats, rules, secret_scan, urls
+from oddsift.llm import alignment, byte_bpe, idfiles, jaccard, langid, merkle, packing, permindex, quality_net, repeats, rules, secret_scan, urls
 from oddsift.llm.base import crc_of, table
 from oddsift.session import shared_folder
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -78,6 +79,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.document_manifest(table(spark, sf_dir, "documents"))
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned_counts(table(spark, sf_dir, "documents"), BYTE_BPE, PIECES)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_secret_scans": op2_secret_scans,
@@ -91,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_permutation_index": op10_permutation_index,
     "op11_repeated_passages": op11_repeated_passages,
     "op12_merkle_manifest": op12_merkle_manifest,
+    "op13_token_alignment": op13_token_alignment,
 }
 
 #: these need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
