@@ -22,6 +22,7 @@ import hashlib
 import json
 import os
 import re
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -53,7 +54,10 @@ class Vocabulary:
 
     def __init__(self, tokens: list[bytes]):
         self.tokens = tokens
-        self.sizes = np.array([len(t) for t in tokens], dtype=np.int64)
+        if not all(tokens):
+            raise ValueError("a token without bytes")
+        self.lengths = [len(t) for t in tokens]
+        self.sizes = np.array(self.lengths, dtype=np.int64)
         self.spaced = np.array([t.startswith(b" ") for t in tokens], dtype=bool)
 
 
@@ -112,7 +116,7 @@ class Pair:
                 spelt = b"".join(map(self.first.tokens.__getitem__, x.ids)) == body == b"".join(map(self.second.tokens.__getitem__, y))
                 if len(c) > LONGEST_KEPT or len(known) >= KEPT_CHUNKS + len(extra):
                     extra.append(c)
-                known[c] = (np.array(x.ids, "<i4").tobytes(), np.array(y, "<i4").tobytes()) if spelt else None
+                known[c] = (array("i", x.ids).tobytes(), array("i", y).tobytes()) if spelt else None
         for text, chunks in zip(texts, split, strict=True):
             found = [known[c] for c in chunks]
             if not found:
@@ -156,21 +160,27 @@ class Pair:
         return out
 
     def _window(self, a: bytes, b: bytes) -> tuple[str, int, bytes]:
-        x, y = np.frombuffer(a, "<i4").astype(np.int64), np.frombuffer(b, "<i4").astype(np.int64)
-        ends_a, ends_b = np.cumsum(self.first.sizes[x]), np.cumsum(self.second.sizes[y])
-        starts_a, starts_b = ends_a - self.first.sizes[x], ends_b - self.second.sizes[y]
-        # tokens of B that overlap each token of A: those that end after its start and start before its end
-        low, high = np.searchsorted(ends_b, starts_a, side="right"), np.searchsorted(starts_b, ends_a, side="left")
-        counts = high - low
-        of_a = np.repeat(np.arange(len(x)), counts)
-        of_b = np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
-        codes = x[of_a] * len(self.second.tokens) + y[of_b]
-        shared = np.intersect1d(ends_a, ends_b)
-        groups, i, j = [], 0, 0
-        for p, q in zip((np.searchsorted(ends_a, shared) + 1).tolist(), (np.searchsorted(ends_b, shared) + 1).tolist(), strict=True):
-            groups.append(",".join(map(str, x[i:p].tolist())) + "|" + ",".join(map(str, y[j:q].tolist())))
-            i, j = p, q
-        return ";".join(groups), len(groups), codes.astype("<i8").tobytes()
+        """Walk both sequences by their ends; the tokens at hand always overlap."""
+        x, y = array("i", a), array("i", b)
+        size_a, size_b, step = self.first.lengths, self.second.lengths, len(self.second.tokens)
+        codes, groups, i, j, group_i, group_j = [], [], 0, 0, 0, 0
+        end_a, end_b = size_a[x[0]], size_b[y[0]]
+        while True:
+            codes.append(x[i] * step + y[j])
+            if end_a < end_b:
+                i += 1
+                end_a += size_a[x[i]]
+            elif end_b < end_a:
+                j += 1
+                end_b += size_b[y[j]]
+            else:
+                i, j = i + 1, j + 1
+                groups.append(",".join(map(str, x[group_i:i])) + "|" + ",".join(map(str, y[group_j:j])))
+                if i == len(x):
+                    return ";".join(groups), len(groups), array("q", codes).tobytes()
+                group_i, group_j = i, j
+                end_a += size_a[x[i]]
+                end_b += size_b[y[j]]
 
 
 ALIGNED = "doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, groups_sha256 string, pairs binary, times binary"
