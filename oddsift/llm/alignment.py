@@ -34,8 +34,8 @@ from oddsift.llm.base import worker_store
 from oddsift.session import materialize
 
 LOOKED_UP = 4_000_000
-KEPT_CHUNKS = 300_000
-KEPT_WINDOWS = 300_000
+KEPT_CHUNKS = 600_000
+KEPT_WINDOWS = 600_000
 LONGEST_KEPT = 48
 #: a single space with text on both sides; both tokenizers start a token there
 BETWEEN = re.compile(r"(?<=[^ ]) (?=\S)")

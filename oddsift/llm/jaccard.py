@@ -167,13 +167,15 @@ def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
     """
     postings = prepared.where("prefix is not null").select("class", "n", "asked", F.posexplode("prefix").alias("place", "token"))
     # the head is the class with the fewest rarer shingles before this one: the plainest of a family of copies
+    most = F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")
+    postings = postings.withColumn("most", most)
     row = Window.partitionBy("token").orderBy("place", "class")
     upto = row.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     listed = postings.select(
         "token", "class", "n", "asked", (F.col("place") <= F.col("n") - F.ceil(F.col("n") * num / den)).alias("short"),
-        (F.floor((F.col("n") - F.col("place")) * (num + den) / num) - F.col("n")).alias("most"),
-        F.first("class").over(upto).alias("head"), F.first("n").over(upto).alias("head_n"),
-        F.lag("class").over(row).alias("before"), F.lag("n").over(row).alias("before_n"), F.lead("class").over(row).alias("after"),
+        "most", F.first("class").over(upto).alias("head"), F.first("n").over(upto).alias("head_n"), F.first("most").over(upto).alias("head_most"),
+        F.lag("class").over(row).alias("before"), F.lag("n").over(row).alias("before_n"), F.lag("most").over(row).alias("before_most"),
+        F.lead("class").over(row).alias("after"),
     )
     # a class that several tasks wrote stands there several times: the first is kept, and lists of one class go
     repeated = F.coalesce(F.col("before") == F.col("class"), F.lit(False))
@@ -181,13 +183,16 @@ def shared_postings(prepared: DataFrame, num: int, den: int) -> DataFrame:
     return listed.where(~repeated & (others | (F.col("after") == F.col("class")))).drop("after")
 
 
-def enough_matches(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """The pairs (a, b) that share as many prefix shingles as the smaller of their two choices.
+def class_lists(shared: DataFrame) -> DataFrame:
+    """One row per class: how many matches it asks for, and its shared prefix shingles.
 
     Shingles that only one class has cannot match, so the shared postings of a class stand for its prefix.
     """
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
-    lists = shared.join(wanted, "class", "left_semi").groupBy("class").agg(F.first("asked").alias("asked"), F.collect_list("token").alias("tokens"))
+    return shared.groupBy("class").agg(F.first("asked").alias("asked"), F.collect_list("token").alias("tokens"))
+
+
+def enough_matches(pairs: DataFrame, lists: DataFrame) -> DataFrame:
+    """The pairs (a, b) that share as many prefix shingles as the smaller of their two choices."""
     first, second = lists.toDF("a", "p", "x"), lists.toDF("b", "q", "y")
     both = pairs.join(first, "a").join(second, "b")
     return both.where(F.size(F.array_intersect("x", "y")) >= F.least("p", "q")).select("a", "b")
@@ -301,15 +306,17 @@ def group(
     docs = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
     prepared = materialize(prepare(docs, width, num, den), "prefixes")
     shared = materialize(shared_postings(prepared, num, den), "postings")
+    lists = materialize(class_lists(shared), "lists")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        candidates = materialize(enough_matches(materialize(pairs, "pairs"), shared), "candidates")
+        candidates = materialize(enough_matches(materialize(pairs, "pairs"), lists), "candidates")
         return materialize(verify(candidates, docs, prepared, width, num, den), "links")
 
-    others = F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_n").alias("m")) for c in ("head", "before")]))
-    stars = shared.where("short").select("class", "n", others.alias("o")).select("class", "n", "o.c", "o.m")
+    others = F.explode(F.array(*[F.struct(F.col(c).alias("c"), F.col(f"{c}_n").alias("m"), F.col(f"{c}_most").alias("reach")) for c in ("head", "before")]))
+    stars = shared.where("short").select("class", "n", "most", others.alias("o")).select("class", "n", "most", "o.*")
     near = F.least("n", "m") * den >= F.greatest("n", "m") * num
-    stars = stars.where((F.col("c") != F.col("class")) & near)
+    # as in the second round, places bound the pair; one that falls out here is met again there unless it is connected
+    stars = stars.where((F.col("c") != F.col("class")) & near & (F.col("m") <= F.col("most")) & (F.col("n") <= F.col("reach")))
     labels = components(linked(stars.select(F.greatest("class", "c").alias("a"), F.least("class", "c").alias("b")).distinct()))
 
     # second round: pairs of a list from different groups of the first, the larger set or the greater name first

@@ -5,12 +5,13 @@ the sum, over all ways to cut it into pieces, of the product of their probabilit
 characters). Expectation-maximisation on labelled words fits the pieces. A text's log-likelihood is the sum over its
 words (runs of letters, lower-cased); the highest language wins, ties go to the first in code-point order.
 
-Runs of letters longer than ``MAX_RUN`` are scored in stretches of that length. A letter that is no piece counts
-as one, with a probability that all such letters of a language share.
+Runs of letters longer than ``MAX_RUN`` are scored in stretches, with the forward sums carried from each to the next, so
+every segmentation counts; for the fit they are cut at that length. A letter that is no piece counts as one, with a
+probability that all such letters of a language share.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0. With nothing to learn from, every text
-is ``und``. Rows with a null language or id are not learned from. Repeated rows each get a result row. An empty table
-gives an empty result.
+is ``und``. Rows with a null language or id are not learned from. Repeated rows each get a result row. Very long texts
+are scored whole. An empty table gives an empty result. Columns besides the named ones are not looked at.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ UNKNOWN = "und"
 MAX_RUN = 48
 WORD_START = "▁"
 CACHED_WORDS = 600_000
+ROWS = 500
+STRETCH = 4096
 LETTERS = re.compile(r"[^\W\d_]+")
 
 #: typical probability of one character; scaling by it keeps products near 1
@@ -102,8 +105,8 @@ class Model:
 class Lattice:
     """All pieces that fit into the given words: word, start, end and piece of each, sorted by end."""
 
-    def __init__(self, words: list[str], pieces: Pieces):
-        codes, self.lengths = letters([WORD_START + w for w in words])
+    def __init__(self, words: list[str], pieces: Pieces, mark: str = WORD_START):
+        codes, self.lengths = letters([mark + w for w in words])
         word = np.repeat(np.arange(len(words)), self.lengths)
         start = np.arange(len(codes)) - np.repeat(np.cumsum(self.lengths) - self.lengths, self.lengths)
         left = self.lengths[word] - start
@@ -154,6 +157,30 @@ class Lattice:
         return np.log(np.maximum(end, 1e-300)) + self.lengths[:, None] * np.log(CHARACTER)
 
 
+def long_likelihood(word: str, pieces: Pieces, probability: np.ndarray) -> np.ndarray:
+    """Log-likelihood of one long run under every language.
+
+    Stretch after stretch is laid out with the letters before it that a piece may still reach back to.
+    """
+    body, reach = WORD_START + word, pieces.longest
+    past, logs = np.ones((1, probability.shape[1])), np.zeros(probability.shape[1])
+    for at in range(0, len(body), STRETCH):
+        base = at + 1 - len(past)
+        lattice = Lattice([body[base : at + STRETCH]], pieces, "")
+        weight = lattice.scaled(probability)
+        alpha = np.zeros((int(lattice.lengths[0]) + 1, len(logs)))
+        alpha[: len(past)] = past
+        for j in range(len(past), len(alpha)):
+            some = slice(lattice.cuts[j], lattice.cuts[j + 1])
+            alpha[j] = (alpha[lattice.start[some]] * weight[some]).sum(axis=0)
+            if j % 16 == 0:
+                scale = np.maximum(alpha[j], 1e-300)
+                logs += np.log(scale)
+                alpha[max(0, j - reach) : j + 1] /= scale
+        past = alpha[-reach:]
+    return logs + np.log(np.maximum(past[-1], 1e-300)) + len(body) * np.log(CHARACTER)
+
+
 def fit_pieces(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int, floor: float) -> np.ndarray:
     """Piece probabilities of one language by expectation-maximisation over all segmentations."""
     size = pieces.size + 1
@@ -172,10 +199,14 @@ def fit_pieces(words: list[str], counts: np.ndarray, pieces: Pieces, rounds: int
 
 
 def word_runs(text: str) -> list[str]:
-    runs = LETTERS.findall(text.lower())
-    if max(map(len, runs), default=0) > MAX_RUN:
-        runs = [w[i : i + MAX_RUN] for w in runs for i in range(0, len(w), MAX_RUN)]
-    return runs
+    return LETTERS.findall(text.lower())
+
+
+def stretches(runs: list[str]) -> list[str]:
+    """The runs, cut to a length that the fit can lay out together."""
+    if max(map(len, runs), default=0) <= MAX_RUN:
+        return runs
+    return [w[i : i + MAX_RUN] for w in runs for i in range(0, len(w), MAX_RUN)]
 
 
 def train(
@@ -199,7 +230,7 @@ def train(
         tables: dict[str, Counter] = {}
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                tables.setdefault(name, Counter()).update(word_runs(body))
+                tables.setdefault(name, Counter()).update(stretches(word_runs(body)))
         for name, c in tables.items():
             columns = [pa.array([name] * len(c), pa.string()), pa.array(list(c), pa.string()), pa.array(list(c.values()), pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, ["lang", "word", "n"])
@@ -238,16 +269,19 @@ class Scorer:
                 missing = list(dict.fromkeys(words))
                 values = values[:0]
             missing.sort(key=len)
-            new = [Lattice(missing[i : i + 4096], self.pieces).log_likelihood(self.model.probability) for i in range(0, len(missing), 4096)]
             base = len(place)
             place.update((w, base + i) for i, w in enumerate(missing))
-            room = max(len(values), 4096)
-            while room < len(place):
-                room *= 2
-            if room > len(values):
-                values = np.concatenate((values[:base], np.zeros((room - base, len(self.model.langs)))))
-            values[base : len(place)] = np.concatenate(new)
-            self.store["values"] = values
+            if len(values) < len(place):
+                # memory that is not touched yet costs nothing, so there is no growing by copies
+                grown = np.empty((max(CACHED_WORDS, len(place)), len(self.model.langs)))
+                grown[:base] = values[:base]
+                self.store["values"] = values = grown
+            short = sum(len(w) <= MAX_RUN for w in missing)
+            for i in range(0, short, 4096):
+                some = missing[i : min(i + 4096, short)]
+                values[base + i : base + i + len(some)] = Lattice(some, self.pieces).log_likelihood(self.model.probability)
+            for i in range(short, len(missing)):
+                values[base + i] = long_likelihood(missing[i], self.pieces, self.model.probability)
         return values, np.fromiter(map(place.__getitem__, words), np.int64, len(words))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
@@ -259,7 +293,7 @@ class Scorer:
             runs = word_runs(x) if x else []
             step.append((i, runs))
             size += len(runs)
-            if size > 400_000 or i == len(texts) - 1:
+            if size > 100_000 or i == len(texts) - 1:
                 self._score(step, names, scores)
                 step, size = [], 0
         return names, scores
@@ -279,13 +313,19 @@ class Scorer:
             names[i], scores[i] = self.model.langs[b], s
 
 
+def sliced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            yield batch.slice(at, ROWS)
+
+
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, lang_pred and score of every document."""
     key = model_key(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, key)
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = scorer.predict(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores)], ["doc_id", "lang_pred", "score"])
 
@@ -299,7 +339,7 @@ def keep(docs: DataFrame, model: Model, min_score: float = 0.5, text: str = "tex
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model, key)
-        for batch in batches:
+        for batch in sliced(batches):
             names, scores = scorer.predict(batch.column(place).to_pylist())
             yield batch.filter(pa.array([n != UNKNOWN and s >= min_score for n, s in zip(names, scores, strict=True)], pa.bool_()))
 
