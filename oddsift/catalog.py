@@ -183,14 +183,18 @@ def customer_numbers(spark, sf) -> Prepared:
     return prepare(table(spark, sf, "customer"), ["c_acctbal", "c_nationkey"], [], "c_custkey")
 
 
+#: the column farther from its mean, the first of equals
+_FARTHER = "case when abs(x) >= abs(y) then 'c_acctbal' else 'c_nationkey' end"
+
+
 @query("knn", top_flag(f"""
 with {_CUSTOMERS},
 w as (select least(greatest(5, cast(floor(sqrt(count(*))) as bigint)), count(*) - 1) as nk from customer),
 r as (select id, d, row_number() over (partition by id order by d) rn from pair),
 s as (select id as c_custkey, round(avg(d), 6) as score from r, w where rn <= nk group by id)""", "c_custkey",
-                      final="select c_custkey, score, flag from f"))
+                      final=f"select c_custkey, score, flag, case when flag then {_FARTHER} end as reason_column from f join p using (c_custkey)"))
 def knn(spark, sf):
-    return judged(customer_numbers(spark, sf), "knn", "c_custkey").drop("reason_column")
+    return judged(customer_numbers(spark, sf), "knn", "c_custkey")
 
 
 # the factors are defined to nine significant digits
@@ -209,9 +213,10 @@ raw as (select take.id, sum(t * o.lrd) / 20 / max(own.lrd) as x
         from take join lrd o on take.other = o.id join lrd own on take.id = own.id group by take.id),
 lof as (select id, {_NINE_DIGITS} as lof from raw),
 q as (select -quantile_cont(-lof, 0.05) as cut from lof)
-select id as c_custkey, round(lof, 6) as score, lof > cut as flag from lof, q""")
+select id as c_custkey, round(lof, 6) as score, lof > cut as flag, case when lof > cut then {_FARTHER} end as reason_column
+from lof join p on id = c_custkey, q""")
 def lof(spark, sf):
-    return judged(customer_numbers(spark, sf), "lof", "c_custkey").drop("reason_column")
+    return judged(customer_numbers(spark, sf), "lof", "c_custkey")
 
 
 @query("isolation_forest")

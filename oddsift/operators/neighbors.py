@@ -1,10 +1,16 @@
 """Exact nearest-neighbour methods over numbers.
 
 Equal rows are collapsed to one weighted point first, so no group of copies meets itself. The points are cut
-into leaves by a k-d tree whose splits come from a bounded sample. Boxes around the leaves tell which
-leaves can hold a neighbour of which; only those are brought together. Each task then reads the queries of
-one leaf and streams the candidate points past them, keeping the best k per query. The sample steers the
-cuts only; every result is exact.
+into leaves by a k-d tree whose splits come from a bounded sample. Three passes follow, each reading one leaf's
+points at a time:
+
+1. The k nearest in a point's own leaf bound its radius; a walk down the tree finds the leaves whose boxes lie within
+   it, and the point visits those. Most points visit none, and no point is copied to where it cannot matter.
+2. A visited leaf answers with what lies within the visitor's radius, at most the k nearest and their ties. Leaves
+   with many visitors are worked in slices.
+3. Home again, a point's own leaf and the answers, which come sorted by point, are merged.
+
+The sample steers the cuts only; every result is exact.
 """
 
 from __future__ import annotations
@@ -28,10 +34,10 @@ from oddsift.session import materialize
 
 MAX_LEAVES = 65_536
 LEAF_ROWS = 8_192
-STATE_CELLS = 4_000_000  # best-so-far distances one task may hold
 SAMPLE_PER_LEAF = 32
-MAX_TASKS = 20_000
-QUERY_CHUNK, POINT_CHUNK = 256, 4_096
+QUERY_CHUNK = 256
+VISITS_PER_SLICE = 100_000
+BALANCE = 0.2  # a side whose median leaves less than this on one hand gives way to the next widest
 
 # Neighbour counts and the density guard.
 KNN_MIN = 5
@@ -43,21 +49,46 @@ TIE_DECIMALS = 10  # distances this close are ties, so last-bit noise cannot spl
 
 @dataclass
 class Points:
-    """Distinct points (pid, w, x0.., n0..) with their leaves, written once."""
+    """Distinct points (pid, w, x0.., n0..) with their leaves, written once, and the tree over the leaves."""
 
     df: DataFrame
     dims: int
     count: int
     rows: int
     leaves: int
+    tree: tuple
 
     @property
     def unique(self) -> bool:
         return self.count == self.rows
 
 
+def _split(part: np.ndarray, share: float) -> tuple[int, float] | None:
+    """Side and cut near the share-quantile: the widest side with a balanced cut, or else the best balanced one.
+
+    Values below the cut go left. Where one value fills the place of the quantile, the cut goes beside it.
+    """
+    width = part.max(axis=0) - part.min(axis=0)
+    best, found = -1.0, None
+    for j in np.argsort(-width, kind="stable"):
+        if not width[j] > 0:
+            break
+        x = part[:, j]
+        at = min(max(int(len(x) * share), 1), len(x) - 1)
+        value = np.partition(x, at)[at]
+        above = x[x > value]
+        for cut in ([value] if (x < value).any() else []) + ([above.min()] if len(above) else []):
+            below = float((x < cut).mean())
+            fit = min(below / share, (1 - below) / (1 - share))
+            if fit > best:
+                best, found = fit, (int(j), float(cut))
+        if best >= 2 * BALANCE:
+            break
+    return found
+
+
 def _grow_tree(sample: np.ndarray, leaves: int):
-    """Median splits on the widest side until there are ``leaves`` parts."""
+    """Splits near the median until there are ``leaves`` parts or equal points."""
     dim, cut, left, right = [], [], [], []
     leaf_of: list[int] = []
 
@@ -68,18 +99,15 @@ def _grow_tree(sample: np.ndarray, leaves: int):
         left.append(-1)
         right.append(-1)
         leaf_of.append(-1)
-        if want > 1 and len(idx) > 1:
-            part = sample[idx]
-            j = int(np.argmax(part.max(axis=0) - part.min(axis=0)))
-            take = want // 2
-            at = min(max(len(idx) * take // want, 1), len(idx) - 1)
-            value = float(np.partition(part[:, j], at)[at])
-            below = part[:, j] < value
-            if below.any() and not below.all():
-                dim[node], cut[node] = j, value
-                left[node] = add(idx[below], take)
-                right[node] = add(idx[~below], want - take)
-                return node
+        found = _split(sample[idx], (want // 2) / want) if want > 1 and len(idx) > 1 else None
+        if found:
+            dim[node], cut[node] = found
+            below = sample[idx, found[0]] < found[1]
+            # a lopsided cut deals the parts by what it found
+            take = min(max(round(want * below.mean()), 1), want - 1)
+            left[node] = add(idx[below], take)
+            right[node] = add(idx[~below], want - take)
+            return node
         leaf_of[node] = add.leaves
         add.leaves += 1
         return node
@@ -115,208 +143,262 @@ def distinct_points(p: Prepared, k: int, leaf_rows: int | None = None) -> Points
     flat = materialize(grouped.select("pid", "w", *z, *raw), "points")
     count = flat.count()
     cores = p.df.sparkSession.sparkContext.defaultParallelism
-    target = leaf_rows or min(LEAF_ROWS, max(256, math.ceil(count / (4 * cores))))
+    # a leaf that holds k points twice over bounds most radii by itself
+    target = leaf_rows or max(2 * (k + 1), min(LEAF_ROWS, max(256, math.ceil(count / (4 * cores)))))
     leaves = min(MAX_LEAVES, max(1, math.ceil(count / target)))
     share = min(1.0, leaves * SAMPLE_PER_LEAF / count)
     steer = flat.filter(F.pmod(F.xxhash64("pid"), F.lit(1_000_000)) < math.ceil(share * 1_000_000))
     xs = [f"x{j}" for j in range(dims)]
     sample = steer.select(*xs).toPandas().to_numpy(dtype=float)  # at most about MAX_LEAVES * SAMPLE_PER_LEAF rows
     if len(sample) < 2:
-        return Points(flat.withColumn("leaf", F.lit(0)), dims, count, p.rows, 1)
+        return Points(flat.withColumn("leaf", F.lit(0)), dims, count, p.rows, 1, _grow_tree(np.zeros((0, dims)), 1)[0])
     tree, leaves = _grow_tree(sample, leaves)
     placed = flat.withColumn("leaf", _leaf_udf(tree)(F.struct(*xs)))
-    return Points(materialize(placed, "point-leaves"), dims, count, p.rows, leaves)
-
-
-def leaf_pairs(pts: Points, k: int) -> DataFrame:
-    """(leaf, other, seq): every leaf that can hold one of the k nearest rows of a point in ``leaf``.
-
-    Some radius around a leaf surely covers k rows besides the point itself: the largest distance to
-    the nearest boxes that weigh k + 1 together. No leaf that starts beyond that radius matters.
-    """
+    return Points(materialize(placed, "point-leaves"), dims, count, p.rows, leaves, tree)
+
+
+class Boxes:
+    """The tree with a box and a weight at every node."""
+
+    def __init__(self, pts: Points):
+        xs = [f"x{j}" for j in range(pts.dims)]
+        found = pts.df.groupBy("leaf").agg(F.sum("w").alias("weight"), *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs])
+        known = found.toPandas().set_index("leaf")  # one row per leaf, at most MAX_LEAVES
+        _, _, self.left, self.right, self.leaf_of = pts.tree
+        nodes = len(self.left)
+        self.lo, self.hi = np.full((nodes, pts.dims), np.inf), np.full((nodes, pts.dims), -np.inf)
+        self.weight = np.zeros(nodes)
+        # children come after their parents
+        for node in range(nodes - 1, -1, -1):
+            leaf = self.leaf_of[node]
+            if leaf < 0:
+                a, b = self.left[node], self.right[node]
+                self.lo[node], self.hi[node] = np.minimum(self.lo[a], self.lo[b]), np.maximum(self.hi[a], self.hi[b])
+                self.weight[node] = self.weight[a] + self.weight[b]
+            elif leaf in known.index:
+                row = known.loc[leaf]
+                self.lo[node], self.hi[node] = row[[f"lo_{x}" for x in xs]].to_numpy(float), row[[f"hi_{x}" for x in xs]].to_numpy(float)
+                self.weight[node] = row["weight"]
+
+    def radius(self, q: np.ndarray, k: int) -> float:
+        """A radius around q that surely holds k rows besides itself: the far side of the nearest boxes that weigh enough."""
+        at = np.flatnonzero((self.leaf_of >= 0) & (self.weight > 0))
+        far = np.maximum(np.abs(self.hi[at] - q), np.abs(q - self.lo[at]))
+        far = np.sqrt((far * far).sum(axis=1))
+        order = np.argsort(far)
+        enough = np.searchsorted(np.cumsum(self.weight[at][order]), k + 1)
+        return float(far[order[min(enough, len(order) - 1)]])
+
+    def touched(self, q: np.ndarray, radius: np.ndarray, home: int) -> tuple[np.ndarray, np.ndarray]:
+        """(row of q, leaf) for every leaf but ``home`` whose box begins within the radius."""
+        rows, leaves = [], []
+        reach = radius * (1 + 1e-9) + 1e-9
+        stack = [(0, np.arange(len(q)))]
+        while stack:
+            node, at = stack.pop()
+            gap = np.maximum(0, np.maximum(self.lo[node] - q[at], q[at] - self.hi[node]))
+            at = at[np.sqrt((gap * gap).sum(axis=1)) <= reach[at]]
+            leaf = self.leaf_of[node]
+            if not len(at) or leaf == home or not self.weight[node]:
+                continue
+            if leaf >= 0:
+                rows.append(at)
+                leaves.append(np.full(len(at), leaf))
+            else:
+                stack += [(self.left[node], at), (self.right[node], at)]
+        none = np.zeros(0, np.int64)
+        return np.concatenate([none, *rows]), np.concatenate([none, *leaves])
+
+
+def _distances(q: np.ndarray, x: np.ndarray, ties: bool) -> np.ndarray:
+    acc = np.zeros((len(q), len(x)))
+    for j in range(x.shape[1]):
+        diff = q[:, j][:, None] - x[:, j][None, :]
+        acc += diff * diff
+    d = np.sqrt(acc)
+    return np.round(d, TIE_DECIMALS) if ties else d
+
+
+def _kth(d: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    """Distance within which each row's entries weigh k; infinite where all of them do not."""
+    if d.shape[1] > k + 1:
+        idx = np.argpartition(d, k, axis=1)[:, : k + 1]
+        d, w = np.take_along_axis(d, idx, 1), np.take_along_axis(w, idx, 1)
+    order = np.argsort(d, axis=1)
+    total = np.cumsum(np.take_along_axis(w, order, 1), axis=1)
+    at = (total >= k).argmax(axis=1)
+    rows = np.arange(len(d))
+    return np.where(total[:, -1] >= k, d[rows, order[rows, at]], np.inf)
+
+
+def _mean_distances(d: np.ndarray, w: np.ndarray, k: int) -> np.ndarray:
+    if d.shape[1] > k + 1:
+        # all but a point itself weigh one at least
+        idx = np.argpartition(d, k, axis=1)[:, : k + 1]
+        d, w = np.take_along_axis(d, idx, 1), np.take_along_axis(w, idx, 1)
+    order = np.argsort(d, axis=1, kind="stable")
+    d, w = np.take_along_axis(d, order, 1), np.take_along_axis(w, order, 1)
+    taken = np.clip(k - (np.cumsum(w, axis=1) - w), 0, w)
+    return (np.where(taken > 0, d, 0) * taken).sum(axis=1) / k
+
+
+def _edges(pid: np.ndarray, d: np.ndarray, w: np.ndarray, o: np.ndarray, k: int) -> pd.DataFrame:
+    kd = _kth(d, w, k)[:, None]
+    inner, shell = d < kd, d == kd
+    before, on_shell = (w * inner).sum(axis=1), (w * shell).sum(axis=1)
+    take = np.where(inner, w, np.where(shell, w * ((k - before) / on_shell)[:, None], 0))
+    i, j = np.nonzero(take > 0)
+    return pd.DataFrame({"q": pid[i], "o": o[i, j], "d": d[i, j], "take": take[i, j], "kd": kd[i, 0]})
+
+
+def _own(x: np.ndarray, pid: np.ndarray, w: np.ndarray, at: slice, ties: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Distances and weights of a leaf's points seen from some of them; a row is not its own neighbour, its copies are."""
+    d = _distances(x[at], x, ties)
+    weights = np.repeat(w[None, :].astype(float), len(d), axis=0)
+    weights[np.arange(len(d)), np.arange(at.start, at.start + len(d))] -= 1
+    return d, weights
+
+
+def _leaf_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tuple[bool, pd.DataFrame]]:
+    """Batches sorted by ``key``, cut where the key changes; tells whether a run begins."""
+    last = None
+    for pdf in batches:
+        values = pdf[key].to_numpy()
+        starts = np.flatnonzero(np.r_[True, (values[1:] != values[:-1]).any(axis=1)]) if len(values) else []
+        for a, b in zip(starts, [*starts[1:], len(values)]):
+            this = tuple(values[a])
+            yield this != last, pdf.iloc[a:b]
+            last = this
+
+
+def visits(pts: Points, k: int, ties: bool) -> DataFrame:
+    """(leaf, home, pid, radius, x..): the points that have to ask another leaf."""
     xs = [f"x{j}" for j in range(pts.dims)]
-    boxes = pts.df.groupBy("leaf").agg(
-        F.sum("w").alias("weight"), *[F.min(x).alias(f"lo_{x}") for x in xs], *[F.max(x).alias(f"hi_{x}") for x in xs]
-    )
-    known = boxes.toPandas().sort_values("leaf")  # one row per leaf, at most MAX_LEAVES
-    leaf, weight = known["leaf"].to_numpy(), known["weight"].to_numpy()
-    lo = known[[f"lo_{x}" for x in xs]].to_numpy(dtype=float)
-    hi = known[[f"hi_{x}" for x in xs]].to_numpy(dtype=float)
-    spark = pts.df.sparkSession
-    shared = spark.sparkContext.broadcast((leaf, weight, lo, hi))
-
-    def reachable(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        leaf, weight, lo, hi = shared.value
-        for pdf in batches:
-            for a in pdf["id"].to_numpy():
-                far = np.maximum(np.abs(hi[a] - lo), np.abs(hi - lo[a]))
-                near = np.maximum(0, np.maximum(lo[a] - hi, lo - hi[a]))
-                far, near = (far * far).sum(axis=1), (near * near).sum(axis=1)
-                order = np.argsort(far, kind="stable")
-                enough = np.searchsorted(np.cumsum(weight[order]), k + 1)
-                radius = far[order[min(enough, len(order) - 1)]] * (1 + 1e-9)
-                hit = np.flatnonzero(near <= radius)
-                hit = hit[np.lexsort((hit != a, near[hit]))]
-                seq = np.arange(len(hit)) + 1
-                seq[hit == a] = 0
-                yield pd.DataFrame({"leaf": np.full(len(hit), leaf[a]), "other": leaf[hit], "seq": seq.astype("int32")})
-
-    tasks = min(len(leaf), 4 * spark.sparkContext.defaultParallelism)
-    return spark.range(0, len(leaf), 1, max(tasks, 1)).mapInPandas(reachable, "leaf int, other int, seq int")
-
-
-class _Best:
-    """Queries of one group and the nearest entries seen so far."""
-
-    def __init__(self, dims: int, k: int, unit: bool, edges: bool):
-        self.dims, self.k, self.unit, self.edges = dims, k, unit, edges
-        self.parts: list[np.ndarray] = []
-        self.q = None
-
-    def add_queries(self, x: np.ndarray, pid: np.ndarray) -> None:
-        self.parts.append((x, pid))
-
-    def seal(self) -> None:
-        if self.q is None:
-            self.q = np.concatenate([x for x, _ in self.parts])
-            self.pid = np.concatenate([i for _, i in self.parts])
-            n = len(self.q)
-            self.d = np.full((n, 1), np.inf)
-            self.w = None if self.unit and not self.edges else np.zeros((n, 1))
-            self.o = np.full((n, 1), -1) if self.edges else None
-            self.bound = np.full(n, np.inf)
-
-    def offer(self, x: np.ndarray, pid: np.ndarray, w: np.ndarray) -> None:
-        self.seal()
-        for s in range(0, len(x), POINT_CHUNK):
-            px, pp, pw = x[s:s + POINT_CHUNK], pid[s:s + POINT_CHUNK], w[s:s + POINT_CHUNK]
-            gap = np.maximum(0, np.maximum(px.min(axis=0) - self.q, self.q - px.max(axis=0)))
-            live = np.flatnonzero((gap * gap).sum(axis=1) <= self.bound ** 2 * (1 + 1e-9))
-            width = self.d.shape[1]
-            updates = []
-            for c in range(0, len(live), QUERY_CHUNK):
-                at = live[c:c + QUERY_CHUNK]
-                updates.append((at, *self._merge(at, px, pp, pw)))
-            need = max([width] + [u[1].shape[1] for u in updates])
-            if need > width:
-                self._widen(need)
-            for at, d, ww, o in updates:
-                n = d.shape[1]
-                self.d[at, :n], self.d[at, n:] = d, np.inf
-                if self.w is not None:
-                    self.w[at, :n], self.w[at, n:] = ww, 0
-                if self.o is not None:
-                    self.o[at, :n], self.o[at, n:] = o, -1
-                if n > self.k:
-                    self.bound[at] = np.partition(d, self.k, axis=1)[:, self.k]
-
-    def _widen(self, need: int) -> None:
-        n, width = self.d.shape
-        def grow(a, fill):
-            out = np.full((n, need), fill, dtype=a.dtype)
-            out[:, :width] = a
-            return out
-        self.d = grow(self.d, np.inf)
-        self.w = None if self.w is None else grow(self.w, 0)
-        self.o = None if self.o is None else grow(self.o, -1)
-
-    def _merge(self, at, px, pp, pw):
-        acc = np.zeros((len(at), len(px)))
-        for j in range(self.dims):
-            diff = self.q[at, j][:, None] - px[:, j][None, :]
-            acc += diff * diff
-        new = np.sqrt(acc)
-        if self.edges:
-            new = np.round(new, TIE_DECIMALS)
-        d = np.concatenate([self.d[at], new], axis=1)
-        keep = self.k + 1
-        if self.w is None:
-            return (np.partition(d, keep - 1, axis=1)[:, :keep] if d.shape[1] > keep else d), None, None
-        w = np.concatenate([self.w[at], np.broadcast_to(pw.astype(float), acc.shape)], axis=1)
-        old = self.d.shape[1]
-        spot = np.searchsorted(pp, self.pid[at])
-        spot = np.minimum(spot, len(pp) - 1)
-        own = np.flatnonzero(pp[spot] == self.pid[at])
-        w[own, old + spot[own]] -= 1  # a row is not its own neighbour, its copies are
-        o = np.concatenate([self.o[at], np.broadcast_to(pp, acc.shape)], axis=1) if self.edges else None
-        if d.shape[1] > keep:
-            if self.edges:
-                # every entry that ties with the last kept distance stays
-                kth = np.partition(d, keep - 1, axis=1)[:, keep - 1]
-                keep = max(keep, int((d <= kth[:, None]).sum(axis=1).max()))
-            if d.shape[1] > keep:
-                idx = np.argpartition(d, keep - 1, axis=1)[:, :keep]
-                d, w = np.take_along_axis(d, idx, 1), np.take_along_axis(w, idx, 1)
-                o = np.take_along_axis(o, idx, 1) if self.edges else None
-        return d, w, o
-
-    def mean_distances(self) -> pd.DataFrame:
-        if self.w is None:
-            d = np.sort(self.d, axis=1)[:, 1:self.k + 1]
-            return pd.DataFrame({"pid": self.pid, "score": d.sum(axis=1) / self.k})
-        order = np.argsort(self.d, axis=1, kind="stable")
-        d, w = np.take_along_axis(self.d, order, 1), np.take_along_axis(self.w, order, 1)
-        taken = np.clip(self.k - (np.cumsum(w, axis=1) - w), 0, w)
-        d = np.where(taken > 0, d, 0)
-        return pd.DataFrame({"pid": self.pid, "score": (d * taken).sum(axis=1) / self.k})
-
-    def neighbour_edges(self) -> pd.DataFrame:
-        order = np.argsort(self.d, axis=1, kind="stable")
-        d, w, o = (np.take_along_axis(a, order, 1) for a in (self.d, self.w, self.o))
-        reach = (np.cumsum(w, axis=1) >= self.k).argmax(axis=1)
-        kd = d[np.arange(len(d)), reach]
-        inner, shell = d < kd[:, None], d == kd[:, None]
-        before = (w * inner).sum(axis=1)
-        on_shell = (w * shell).sum(axis=1)
-        take = np.where(inner, w, np.where(shell, w * ((self.k - before) / on_shell)[:, None], 0))
-        i, j = np.nonzero(take > 0)
-        return pd.DataFrame({"q": self.pid[i], "o": o[i, j], "d": d[i, j], "take": take[i, j], "kd": kd[i]})
+    boxes = pts.df.sparkSession.sparkContext.broadcast(Boxes(pts))
+
+    def leave(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        whole = pd.concat(parts)
+        home = int(whole["leaf"].iloc[0])
+        x, pid, w = whole[xs].to_numpy(float), whole["pid"].to_numpy(), whole["w"].to_numpy()
+        for at in range(0, len(x), QUERY_CHUNK):
+            some = slice(at, min(at + QUERY_CHUNK, len(x)))
+            radius = _kth(*_own(x, pid, w, some, ties), k)
+            for i in np.flatnonzero(np.isinf(radius)):
+                radius[i] = boxes.value.radius(x[at + i], k)
+            row, leaf = boxes.value.touched(x[some], radius, home)
+            if len(row):
+                out = {"leaf": leaf.astype("int32"), "home": np.full(len(row), home, "int32"), "pid": pid[some][row], "radius": radius[row]}
+                yield pd.DataFrame(out | {c: x[some][row, j] for j, c in enumerate(xs)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []
+        for new, part in _leaf_runs(batches, ["leaf"]):
+            if new and parts:
+                yield from leave(parts)
+                parts = []
+            parts.append(part)
+        if parts:
+            yield from leave(parts)
+
+    by_leaf = pts.df.select("leaf", "pid", "w", *xs).repartition("leaf").sortWithinPartitions("leaf", "pid")
+    return by_leaf.mapInPandas(run, "leaf int, home int, pid bigint, radius double, " + ", ".join(f"{x} double" for x in xs))
+
+
+def answers(pts: Points, asked: DataFrame, k: int, ties: bool, per_slice: int = VISITS_PER_SLICE) -> DataFrame:
+    """(leaf, q, o, d, w): what the visited leaves hold within each visitor's radius; leaf is the visitor's home."""
+    xs = [f"x{j}" for j in range(pts.dims)]
+    # one row per visited leaf
+    sliced = asked.groupBy("leaf").agg(F.ceil(F.count("*") / per_slice).cast("int").alias("slices"))
+    hosts = pts.df.join(sliced, "leaf").select("leaf", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(0).alias("seq"),
+                                               F.lit(None).cast("int").alias("home"), "pid", "w", F.lit(0.0).alias("radius"), *xs)
+    guests = asked.join(sliced, "leaf").select("leaf", F.pmod(F.xxhash64("pid"), F.col("slices")).cast("int").alias("slice"), F.lit(1).alias("seq"),
+                                               "home", "pid", F.lit(0).cast("bigint").alias("w"), "radius", *xs)
+    stream = hosts.unionByName(guests).repartition("leaf", "slice").sortWithinPartitions("leaf", "slice", "seq")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts: list[pd.DataFrame] = []
+        for new, part in _leaf_runs(batches, ["leaf", "slice", "seq"]):
+            if part["seq"].iloc[0] == 0:
+                parts = [part] if new else [*parts, part]
+                continue
+            if len(parts) > 1:
+                parts = [pd.concat(parts)]
+            x, o, w = parts[0][xs].to_numpy(float), parts[0]["pid"].to_numpy(), parts[0]["w"].to_numpy()
+            q, pid, home, radius = part[xs].to_numpy(float), part["pid"].to_numpy(), part["home"].to_numpy(), part["radius"].to_numpy()
+            for at in range(0, len(q), QUERY_CHUNK):
+                some = slice(at, at + QUERY_CHUNK)
+                d = _distances(q[some], x, ties)
+                within = np.minimum(radius[some], _kth(d, np.broadcast_to(w.astype(float), d.shape), k))
+                i, j = np.nonzero(d <= within[:, None])
+                if len(i):
+                    yield pd.DataFrame({"leaf": home[some][i].astype("int32"), "q": pid[some][i], "o": o[j], "d": d[i, j], "w": w[j]})
+
+    return stream.mapInPandas(run, "leaf int, q bigint, o bigint, d double, w bigint")
 
 
 def nearest(pts: Points, k: int, edges: bool) -> DataFrame:
     """(pid, score): mean distance to the k nearest rows; or the neighbour edges (q, o, d, take, kd)."""
     xs = [f"x{j}" for j in range(pts.dims)]
-    per_leaf = max(1, pts.count // max(pts.leaves, 1))
-    slices = max(1, math.ceil(per_leaf * (k + 1) / STATE_CELLS))
-    groups = pts.leaves * slices
-    queries = pts.df.select(
-        (F.col("leaf") * slices + F.pmod(F.xxhash64("pid"), F.lit(slices)).cast("int")).alias("g"),
-        F.lit(-1).alias("seq"), "pid", "w", *xs,
-    )
-    pairs = leaf_pairs(pts, k)
-    cells = pairs.select(
-        F.explode(F.sequence(F.col("leaf") * slices, F.col("leaf") * slices + slices - 1)).alias("g"), "seq",
-        F.col("other").alias("leaf"),
-    )
-    candidates = pts.df.join(cells, "leaf").select("g", "seq", "pid", "w", *xs)
-    tasks = min(MAX_TASKS, groups)
-    stream = (
-        queries.unionByName(candidates)
-        .repartitionById(tasks, F.col("g") % tasks)
-        .sortWithinPartitions("g", "seq", "pid")
-    )
-    dims, unit = pts.dims, pts.unique
-
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        group, best = None, None
-        for pdf in batches:
-            keys = pdf[["g", "seq"]].to_numpy()
-            x, pid, w = pdf[xs].to_numpy(dtype=float), pdf["pid"].to_numpy(), pdf["w"].to_numpy()
-            starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]).any(axis=1)])
-            for s, e in zip(starts, [*starts[1:], len(keys)]):
-                if keys[s, 0] != group:
-                    if best is not None and best.q is not None:
-                        yield best.neighbour_edges() if edges else best.mean_distances()
-                    group, best = keys[s, 0], _Best(dims, k, unit, edges)
-                if keys[s, 1] == -1:
-                    best.add_queries(x[s:e], pid[s:e])
-                elif best.parts:
-                    best.offer(x[s:e], pid[s:e], w[s:e])
-        if best is not None and best.q is not None:
-            yield best.neighbour_edges() if edges else best.mean_distances()
-
-    schema = "q bigint, o bigint, d double, take double, kd double" if edges else "pid bigint, score double"
-    return stream.mapInPandas(scan, schema)
+    found = answers(pts, materialize(visits(pts, k, edges), "visits"), k, edges)
+    none = F.lit(None).cast("double")
+    hosts = pts.df.select("leaf", F.lit(0).alias("seq"), "pid", F.lit(0).cast("bigint").alias("o"), none.alias("d"), "w", *xs)
+    back = found.select("leaf", F.lit(1).alias("seq"), F.col("q").alias("pid"), "o", "d", "w", *[none.alias(x) for x in xs])
+    stream = hosts.unionByName(back).repartition("leaf").sortWithinPartitions("leaf", "seq", "pid")
+
+    def settle(home: pd.DataFrame, at: slice, more: pd.DataFrame) -> pd.DataFrame:
+        """Some of a leaf's points, with the answers for them."""
+        x, pid, w = home[xs].to_numpy(float), home["pid"].to_numpy(), home["w"].to_numpy()
+        d, weights = _own(x, pid, w, at, edges)
+        own = pid[at]
+        o = np.broadcast_to(pid, d.shape)
+        if len(more):
+            row = np.searchsorted(own, more["pid"].to_numpy())
+            count = np.bincount(row, minlength=len(own))
+            place = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+            wide = [np.full((len(own), int(count.max())), fill) for fill in (np.inf, 0.0, -1)]
+            for target, c in zip(wide, ("d", "w", "o")):
+                target[row, place] = more[c].to_numpy()
+            d, weights, o = (np.concatenate(pair, axis=1) for pair in zip((d, weights, o), wide))
+        if edges:
+            return _edges(own, d, weights, o, k)
+        return pd.DataFrame({"pid": own, "score": _mean_distances(d, weights, k)})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        parts, home, done, held = [], None, 0, []
+
+        def upto(stop: int) -> Iterator[pd.DataFrame]:
+            """Settle the home's points before ``stop``, in chunks, from the answers held."""
+            nonlocal done, held
+            more = pd.concat(held) if held else back_none
+            pid = home["pid"].to_numpy()
+            while done < stop:
+                at = slice(done, min(done + QUERY_CHUNK, stop))
+                cut = np.searchsorted(more["pid"].to_numpy(), pid[at.stop - 1], side="right")
+                yield settle(home, at, more.iloc[:cut])
+                more, done = more.iloc[cut:], at.stop
+            held = [more] if len(more) else []
+
+        def close() -> Iterator[pd.DataFrame]:
+            nonlocal home
+            home = pd.concat(parts) if home is None else home
+            yield from upto(len(home))
+
+        for new, part in _leaf_runs(batches, ["leaf", "seq"]):
+            if part["seq"].iloc[0] == 0:
+                if new and parts:
+                    yield from close()
+                    parts, home, done, held = [], None, 0, []
+                parts.append(part)
+                continue
+            home = pd.concat(parts) if home is None else home
+            held.append(part)
+            # points before the last one answered for have all their answers
+            yield from upto(int(np.searchsorted(home["pid"].to_numpy(), part["pid"].iloc[-1])))
+        if parts:
+            yield from close()
+
+    back_none = pd.DataFrame({c: [] for c in ("pid", "o", "d", "w")})
+    return stream.mapInPandas(run, "q bigint, o bigint, d double, take double, kd double" if edges else "pid bigint, score double")
 
 
 def local_outlier_factors(edges: DataFrame, k: int) -> DataFrame:

@@ -4,7 +4,7 @@ import pytest
 from conftest import frame, neighbour_brute
 from pyspark.sql import functions as F
 
-from oddsift.operators import categorical, orderstats
+from oddsift.operators import categorical, neighbors, orderstats
 from oddsift.operators.model import CATEGORICAL, NUMERIC, list_models
 from oddsift.operators.neighbors import fit_knn, fit_lof
 from oddsift.operators.numeric import covariance
@@ -95,6 +95,37 @@ def test_neighbour_methods_match_brute_force(spark, name, a):
         assert np.allclose(got[f"{m.id}_score"], want, rtol=2e-8, atol=1e-9), m.id
 
 
+def test_neighbour_search_with_a_heavy_value_and_busy_leaves(spark, monkeypatch):
+    g = np.random.default_rng(8)
+    a = g.normal(size=(900, 2))
+    a[g.random(900) < 0.6, 0] = 0.25  # the widest side, mostly one value
+    a[:, 0] *= 3
+    monkeypatch.setattr(neighbors, "VISITS_PER_SLICE", 20)
+    monkeypatch.setattr(neighbors.answers, "__defaults__", (20,))
+    x = pd.DataFrame(a, columns=["u", "v"])
+    p = prepare(frame(spark, x), ["u", "v"])
+    k = 30
+    pts = neighbors.distinct_points(p, k, 50)
+    sizes = pts.df.groupBy("leaf").count().toPandas()["count"]
+    assert pts.leaves > 10 and sizes.max() < 200
+    z = (a - a.mean(axis=0)) / a.std(axis=0)
+    d = np.sqrt(((z[:, None] - z[None]) ** 2).sum(axis=2)).round(10)
+    got = neighbors.nearest(pts, k, edges=False).toPandas().sort_values("pid")
+    assert np.allclose(got["score"], neighbour_brute(d, k)[0], rtol=1e-8)
+    # a point goes only to leaves that its radius touches
+    asked = neighbors.visits(pts, k, ties=False)
+    assert asked.count() < 900 * pts.leaves / 3 and asked.where("leaf = home").count() == 0
+
+
+def test_splits_avoid_a_heavy_value():
+    part = np.column_stack([np.r_[np.full(92, 5.0), np.linspace(0, 100, 8)], np.linspace(0, 1, 100)])
+    side, cut = neighbors._split(part, 0.5)
+    assert side == 1 and abs((part[:, 1] < cut).mean() - 0.5) < 0.02
+    side, cut = neighbors._split(np.array([[1.0], [1.0], [1.0], [2.0]]), 0.5)
+    assert (side, cut) == (0, 2.0)
+    assert neighbors._split(np.ones((5, 2)), 0.5) is None
+
+
 def test_odd_shipments_score_high(spark, planted_words):
     x, planted = planted_words
     r = run(spark, x, CATEGORICAL, 0.02, categorical=list(x.columns))
