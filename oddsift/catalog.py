@@ -887,6 +887,40 @@ def customer_file_checks(spark, sf):
     return sizes.join(bad, "path", "left").select(_nation(), "length", "reason")
 
 
+def oddly_named_files(spark, sf) -> str:
+    """One file per nation under a name with a blank, an accent, a plus and a percent sign; two kinds of header.
+
+    Files of nations from 20 on hold one blank line only.
+    """
+    path, nation = scratch(spark, "odd-names"), F.col("c_nationkey")
+    folder = F.concat(F.lit("março + 100% ["), nation, F.lit("]"))
+    rows = table(spark, sf, "customer")
+    line = F.when(nation % 2 == 0, F.concat_ws(";", "c_custkey", "c_name")).otherwise(F.concat_ws(",", "c_name", "c_mktsegment", "c_custkey"))
+    filled = rows.where(nation < 20).select(nation, "c_custkey", line.alias("value"))
+    head = rows.groupBy(nation).agg(F.lit(-1).cast("bigint").alias("c_custkey"))
+    head = head.withColumn("value", F.when(nation >= 20, " ").when(nation % 2 == 0, "id;nome").otherwise("nome,ramo,id"))
+    lines = filled.unionByName(head).withColumn("folder", folder)
+    ordered = lines.repartition("folder").sortWithinPartitions("folder", "c_custkey").select("folder", "value")
+    ordered.write.options(ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False).partitionBy("folder").csv(path, sep="\x01", quote="", escape="")
+    return f"{path}/folder=*"
+
+
+@query("oddly_named_sheets", """
+select cast(c_custkey as varchar) as id, c_name as nome, case when c_nationkey % 2 = 1 then c_mktsegment end as ramo
+from customer where c_nationkey < 20""")
+def oddly_named_sheets(spark, sf):
+    return sheets.read_csv(spark, oddly_named_files(spark, sf)).where("id is not null").select("id", "nome", "ramo")
+
+
+@query("oddly_named_checks", """
+select c_nationkey as nation, case when c_nationkey >= 20 then 'unreadable' end as reason from customer group by 1""")
+def oddly_named_checks(spark, sf):
+    path = oddly_named_files(spark, sf)
+    names = sheets.fingerprints(spark, path).select("path")
+    bad = sheets.rejects(spark, path)
+    return names.join(bad, "path", "left").select(F.regexp_extract("path", "(\\d+)(\\]|%5D)/", 1).cast("int").alias("nation"), "reason")
+
+
 # ---------------------------------------------------------------- audit log
 
 NOW = datetime(2024, 1, 2, tzinfo=timezone.utc)

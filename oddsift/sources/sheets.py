@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -28,9 +29,14 @@ class InvalidInput(ValueError):
     pass
 
 
+def _listed(path: Column | str) -> Column:
+    """Local paths with one slash after the scheme, whichever reader tells them."""
+    return F.regexp_replace(path, "^file:/+", "file:/")
+
+
 def files(spark: SparkSession, path: str) -> DataFrame:
     """(path, length, content) of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", "length", "content")
+    return spark.read.format("binaryFile").load(path).select(_listed("path").alias("path"), "length", "content")
 
 
 def fingerprints(spark: SparkSession, path: str) -> DataFrame:
@@ -42,11 +48,24 @@ def _extension(path: Column) -> Column:
     return F.lower(F.regexp_extract(path, r"\.([^./]*)$", 1))
 
 
+def _plain_path(uri: Column) -> Column:
+    """A file's path as listings show it: the metadata column has it as an encoded URI."""
+    return _listed(F.url_decode(F.replace(uri, F.lit("+"), F.lit("%2B"))))
+
+
+def _literal(path: str) -> str:
+    """A path that stands for itself where Spark takes a pattern."""
+    return re.sub(r"([\\*?\[\]{}^,])", r"\\\1", path)
+
+
 def lines(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, first, line) of all lines, their bytes as they are; ``first`` is true of a file's first block."""
-    text = spark.read.text(path)
+    """(path, first, line) of all lines, their bytes as they are; ``first`` is true of a file's first block.
+
+    A file that fails while it is read gives the lines before the failure.
+    """
+    text = spark.read.option("ignoreCorruptFiles", True).text(path)
     return text.select(
-        F.col("_metadata.file_path").alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first"),
+        _plain_path(F.col("_metadata.file_path")).alias("path"), (F.col("_metadata.file_block_start") == 0).alias("first"),
         F.monotonically_increasing_id().alias("at"), F.col("value").alias("line"),
     )
 
@@ -89,22 +108,29 @@ def read_csv(spark: SparkSession, path: str | list[str], encoding: str | None =
     found = sniff(spark, path).orderBy("path").collect()  # one row per file, as many as Spark lists anyway
     groups: dict[tuple, list[str]] = {}
     for r in found:
-        groups.setdefault((encoding or r["encoding"], separator or r["separator"], bytes(r["head"] or b"")), []).append(r["path"])
+        groups.setdefault((encoding or r["encoding"], separator or r["separator"], bytes(r["head"] or b"")), []).append(_literal(r["path"]))
     if not groups:
         raise InvalidInput(f"no lines at {path}")
     if len(groups) == 1:
         ((enc, sep, _),) = groups
         return _read_alike(spark, path, enc, sep, multiline)
-    tables = [_read_alike(spark, paths, enc, sep, multiline) for (enc, sep, _), paths in groups.items()]
+    # a file of blank lines alone has no columns and no rows; rejects() names it
+    blank = {key for key in groups if not key[2].strip() and len(groups) > 1}
+    tables = [_read_alike(spark, paths, enc, sep, multiline, key in blank) for key, paths in groups.items() for enc, sep, _ in [key]]
+    tables = [t for t in tables if t is not None]
+    if not tables:
+        raise InvalidInput(f"no header at {path}")
     return materialize(reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), tables), "sheets")
 
 
-def _read_alike(spark: SparkSession, path: str | list[str], encoding: str, separator: str, multiline: bool) -> DataFrame:
+def _read_alike(spark: SparkSession, path: str | list[str], encoding: str, separator: str, multiline: bool, blank: bool = False) -> DataFrame | None:
     reader = (
         spark.read.option("sep", separator).option("encoding", encoding).option("quote", '"').option("escape", '"')
         .option("multiLine", multiline)
     )
     top = reader.option("header", False).csv(path).first()
+    if top is None and blank:
+        return None
     if top is None:
         raise InvalidInput(f"no header at {path}")
     names = _header([None if v is None else v.lstrip("\ufeff") for v in top])
@@ -134,12 +160,16 @@ def read_sheet(spark: SparkSession, path: str, **options) -> DataFrame:
 
 
 def rejects(spark: SparkSession, path: str, max_bytes: int | None = None) -> DataFrame:
-    """(path, reason) of files that cannot be analysed: too large (if a limit is given), wrong kind, or no data rows."""
-    sizes = spark.read.format("binaryFile").load(path).select("path", "length")
+    """(path, reason) of files that cannot be analysed: too large (if a limit is given), wrong kind, unreadable (not one
+    line with text), or no data rows."""
+    found = spark.read.format("binaryFile").load(path)
+    # readers pass over empty files, so the listing names them
+    listed = spark.createDataFrame([(p,) for p in found.inputFiles()], "path string").select(_plain_path(F.col("path")).alias("path"))
+    sizes = listed.join(found.select(_listed("path").alias("path"), "length"), "path", "left").withColumn("length", F.coalesce("length", F.lit(0)))
     filled = lines(spark, path).filter(strip(F.col("line")) != "").groupBy("path").agg(F.count(F.lit(1)).alias("filled"))
     too_large = F.lit(False) if max_bytes is None else F.col("length") > max_bytes
     reason = (
         F.when(too_large, "too large").when(~_extension(F.col("path")).isin(*EXTENSIONS), "unsupported kind")
-        .when(F.coalesce("filled", F.lit(0)) < 2, "no data rows")
+        .when(F.coalesce("filled", F.lit(0)) < 1, "unreadable").when(F.col("filled") < 2, "no data rows")
     )
     return sizes.join(filled, "path", "left").select("path", reason.alias("reason")).filter(F.col("reason").isNotNull())
