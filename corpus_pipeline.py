@@ -78,7 +78,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("packing", packing_stage),
 ]
 
-#: language scores and packing are beyond SQL; tests hold the stages against brute force
+#: language scores and packing are beyond SQL; tests hold the Jaccard stage and the tokens packed against plain versions
 ORACLE_SQL = None
 
 
