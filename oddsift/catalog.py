@@ -361,6 +361,21 @@ def average_rank(spark, sf):
     )
 
 
+@query("average_rank_by_ranges", """
+select o_orderkey, cast(rank() over (order by o_totalprice) + (count(*) over (partition by o_totalprice) - 1) / 2.0 as double) as price_rank,
+       cast(rank() over (order by o_custkey % 3) + (count(*) over (partition by o_custkey % 3) - 1) / 2.0 as double) as third_rank
+from orders""")
+def average_rank_by_ranges(spark, sf):
+    """The plan for large tables: distinct values in ranges, totals carried from range to range, hot values salted."""
+    df = table(spark, sf, "orders")
+    series = {"p": F.col("o_totalprice"), "c": F.col("o_custkey") % 3}
+    ranked = orderstats.average_ranks(df, series, "o_orderkey", df.count(), one_task_rows=0)
+    return ranked.groupBy("o_orderkey").agg(
+        F.max(F.when(F.col("series") == 0, F.col("avg_rank"))).alias("price_rank"),
+        F.max(F.when(F.col("series") == 1, F.col("avg_rank"))).alias("third_rank"),
+    )
+
+
 @query("flag_top", top_flag("with s as (select event_id, value as score from events)", "event_id",
                             final="select event_id, score, flag from f"))
 def flag_top(spark, sf):
@@ -426,6 +441,21 @@ def text_fold(spark, sf):
     return table(spark, sf, "part").select("p_partkey", scalars.fold_text(padded).alias("folded"))
 
 
+# Letters of several scripts, most with marks, that stand for a to z.
+_SCRIPTS = "άέήίόύώϊϋΐёйїўàạấươễñ한국말ガ가"
+
+
+@query("text_fold_scripts", f"""
+with x as (select p_partkey, lower(strip_accents(translate(p_name, 'abcdefghijklmnopqrstuvwxyz', '{_SCRIPTS}'))) as t from part)
+select p_partkey, array_to_string(list_transform(string_split(t, ''), lambda c: case when unicode(c) between 44032 and 55203
+           then chr(4352 + (unicode(c) - 44032) // 588) || chr(4449 + (unicode(c) - 44032) % 588 // 28)
+                || case when (unicode(c) - 44032) % 28 > 0 then chr(4519 + (unicode(c) - 44032) % 28) else '' end
+           else c end), '') as folded from x""")
+def text_fold_scripts(spark, sf):
+    written = F.translate("p_name", "abcdefghijklmnopqrstuvwxyz", _SCRIPTS)
+    return table(spark, sf, "part").select("p_partkey", scalars.fold_text(written).alias("folded"))
+
+
 @query("readable_number", """
 select event_id, case when value = floor(value) then cast(cast(value as bigint) as varchar)
                       else rtrim(printf('%.2f', value), '0') end as shown,
@@ -645,6 +675,14 @@ def report_page(spark, sf):
         F.col("row_id").alias("event_id"), "votes", F.round("consensus_score", 6).alias("consensus_score"))
 
 
+@query("report_last_page", f"""{_ANALYSIS}, r6 as (select *, {_ORDERED} rn, count(*) over () as n from a3 where votes > 0)
+select event_id, votes, round(cons, 6) as consensus_score from r6 where rn > (n - 1) // 25 * 25""")
+def report_last_page(spark, sf):
+    a = event_analysis(spark, sf)
+    return a.page(a.pages() - 1).select(
+        F.col("row_id").alias("event_id"), "votes", F.round("consensus_score", 6).alias("consensus_score"))
+
+
 @query("printed_rows", f"""{_ANALYSIS}, r6 as (select *, {_ORDERED} rn from a3 where votes > 0)
 select event_id, votes, (select count(*) from r6) as listed, cast(least(60, (select count(*) from r6)) as bigint) as shown
 from r6 where rn <= 60""")
@@ -971,6 +1009,27 @@ def audit_history(spark, sf):
     return log.analyses("f1").select("filename", F.col("summary.rows").alias("rows"), F.explode("summary.por_modelo").alias("model", "anomalies"))
 
 
+_ASKED = [Parameters(("zscore", "mad"), ("n_chars",)), Parameters(("frequency",), (), ("lang", "source"), 0.02)]
+
+
+@query("audit_reuse", """
+with f as (select substr(sha1('{"categorical_columns": [], "models": ["zscore", "mad"], "numeric_columns": ["n_chars"], "threshold": 0.05}'), 1, 16) a,
+                  substr(sha1('{"categorical_columns": ["lang", "source"], "models": ["frequency"], "numeric_columns": [], "threshold": 0.02}'), 1, 16) b)
+select cast(doc_id as varchar) as file_id, case when doc_id % 2 = 0 then a else b end as fingerprint
+from documents, f where case when doc_id % 2 = 0 then doc_id % 3 <> 0 else doc_id % 5 <> 0 end""")
+def audit_reuse(spark, sf):
+    """Every document asks for one of two analyses; the log answers some, and some of them twice."""
+    files = audit_records(spark, sf).select(F.col("id").alias("file_id"), "filename", "sha256", "created_at")
+    key, (a, b) = F.col("file_id").cast("bigint"), _ASKED
+    log = audit.AuditLog(spark, scratch(spark, "audit"))
+    for p, some in ((a, key % 3 == 0), (b, key % 5 == 0), (a, key % 9 == 0)):
+        log.append_analyses(files.filter(some).select(
+            F.expr("uuid()").alias("id"), "*", audit.parameters_column(p).alias("parameters"),
+            F.lit(p.fingerprint()).alias("fingerprint")))
+    asked = F.when(key % 2 == 0, a.fingerprint()).otherwise(b.fingerprint())
+    return log.unseen(files.select("file_id", asked.alias("fingerprint")))
+
+
 # ---------------------------------------------------------------- evaluation
 
 EVAL_MODELS = ["zscore", "iqr"]

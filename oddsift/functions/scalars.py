@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import math
+import sys
 import unicodedata
 from collections.abc import Callable, Sequence
+from functools import cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -63,25 +65,64 @@ def regional_text(c: Column) -> Column:
     return F.replace(c.cast("string"), F.lit("."), F.lit(","))
 
 
-def _accent_table() -> tuple[str, str]:
-    """Letters of the Latin blocks and their bases; combining marks map to nothing."""
-    source, target, marks = [], [], []
-    for code in [*range(0x00C0, 0x0250), *range(0x1E00, 0x1F00)]:
-        parts = unicodedata.normalize("NFD", chr(code))
-        base = "".join(p for p in parts if unicodedata.category(p) != "Mn")
-        if len(parts) > 1 and len(base) == 1:
-            source.append(chr(code))
+# The arithmetic of Hangul syllables in the Unicode standard.
+SYLLABLES = range(0xAC00, 0xAC00 + 11172)
+LEADS, VOWELS, TAILS = 0x1100, 0x1161, 0x11A7
+VOWELS_AND_TAILS, TAIL_COUNT = 588, 28
+
+
+@cache
+def _folds() -> tuple[str, str, dict[str, str]]:
+    """For translation: characters and their bases, marks (mapped to nothing) behind; and those with longer bases.
+
+    Read from the character database, all scripts; Hangul syllables are left to arithmetic.
+    """
+    source, target, marks, longer = [], [], [], {}
+    for char in map(chr, range(0x80, sys.maxunicode + 1)):
+        if ord(char) in SYLLABLES or 0xD800 <= ord(char) < 0xE000:
+            continue
+        base = "".join(p for p in unicodedata.normalize("NFD", char) if unicodedata.category(p) != "Mn")
+        if not base:
+            marks.append(char)
+        elif len(base) > 1:
+            longer[char] = base
+        elif base != char:
+            source.append(char)
             target.append(base)
-    for code in range(0x0300, 0x0370):
-        if unicodedata.category(chr(code)) == "Mn":
-            marks.append(chr(code))
-    return "".join(source + marks), "".join(target)
+    return "".join(source + marks), "".join(target), longer
+
+
+def _spelled_out(text: Column) -> Column:
+    """Hangul syllables as their letters, other characters with longer bases as these."""
+    longer = _folds()[2]
+    table = F.create_map(*[F.lit(x) for pair in longer.items() for x in pair])
+    leads = F.array(*[F.lit(chr(LEADS + i)) for i in range(len(SYLLABLES) // VOWELS_AND_TAILS)])
+    vowels = F.array(*[F.lit(chr(VOWELS + i)) for i in range(VOWELS_AND_TAILS // TAIL_COUNT)])
+    tails = F.array(F.lit(""), *[F.lit(chr(TAILS + i)) for i in range(1, TAIL_COUNT)])
+
+    def letters(char: Column) -> Column:
+        at = F.ascii(char) - SYLLABLES.start
+        def pick(options: Column, n: Column) -> Column:
+            return F.get(options, n.cast("int"))
+        spelled = F.concat(
+            pick(leads, F.floor(at / VOWELS_AND_TAILS)), pick(vowels, F.floor(at % VOWELS_AND_TAILS / TAIL_COUNT)),
+            pick(tails, at % TAIL_COUNT),
+        )
+        return F.when((at >= 0) & (at < len(SYLLABLES)), spelled).otherwise(F.coalesce(F.try_element_at(table, char), char))
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit("(?s)."), F.lit(0)), letters), "")
 
 
 def fold_text(c: Column) -> Column:
-    """Accents dropped, lower case, trimmed; null becomes the empty string."""
-    source, target = _accent_table()
-    return F.coalesce(strip(F.lower(F.translate(c.cast("string"), source, target))), F.lit(""))
+    """Accents and other marks dropped in every script, lower case, trimmed; null becomes the empty string.
+
+    Most texts need one character translation; only texts with Hangul or characters of longer bases are spelled out.
+    """
+    source, target, longer = _folds()
+    rare = f"[{chr(SYLLABLES.start)}-{chr(SYLLABLES[-1])}{''.join(longer)}]"
+    text = c.cast("string")
+    spelled = F.when(text.rlike(rare), _spelled_out(text)).otherwise(text)
+    return F.coalesce(strip(F.lower(F.translate(spelled, source, target))), F.lit(""))
 
 
 def _trim_zeros(text: Column) -> Column:

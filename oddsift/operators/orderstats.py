@@ -6,14 +6,18 @@ sketch steers the work; it never decides a result.
 
 Ranks need every row's place. Up to ``ONE_TASK_ROWS`` rows a window per series is enough. Beyond, equal
 values are counted first (so a value that fills a third of the table becomes one row), the counts are
-cut into ordered cells, and the running totals inside the cells are joined back.
+dealt by ranges of value, and totals run inside the ranges, with one total per range carried on.
+
+Lists that are read by page are written once in ranges; a page reads the ranges it touches.
 """
 
 from __future__ import annotations
 
 import math
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,7 +29,6 @@ ONE_TASK_ROWS = 2_000_000
 BROADCAST_ROWS = 200_000
 HOT_SHARE = 500
 SALTS = 1024
-MAX_CELLS = 64
 MAX_ROUNDS = 24
 
 
@@ -328,51 +331,74 @@ def long_form(df: DataFrame, series: Mapping[str, Column], carry: list[str]) ->
     return df.select(*carry, F.explode(cells).alias("cell")).select(*carry, "cell.series", "cell.value")
 
 
-def cumulative_counts(counts: DataFrame, one_task_rows: int | None = None, also: Sequence[str] = ()) -> DataFrame:
+def cumulative_counts(counts: DataFrame, also: Sequence[str] = ()) -> DataFrame:
     """(series, value, cnt) with unique values -> the same rows with ``cum``, the count up to the value.
 
     Further additive columns named in ``also`` get their own running totals, as ``cum_{name}``.
 
-    ``counts`` is read several times, so pass a materialised table.
+    The rows are dealt by ranges of (series, value) and written with the number of their range. Totals run inside
+    each range, and one total per range and series is carried into the later ranges. No range holds more than its
+    share of the distinct values, whatever their spacing. ``counts`` is read twice, so pass a materialised table.
     """
-    limit = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
-    shares = [i / MAX_CELLS for i in range(MAX_CELLS + 1)]
-    sketched = counts.groupBy("series").agg(
-        F.count(F.lit(1)).alias("distinct"), F.kll_sketch_agg_double("value", F.lit(2048)).alias("sketch")
-    )
-    per_series = sketched.select(
-        "series", "distinct",
-        F.kll_sketch_get_quantile_double("sketch", F.array(*[F.lit(q) for q in shares])).alias("cuts"),
-    )
-    cell = F.lit(0).cast("bigint")
-    for r in sorted(per_series.collect(), key=lambda r: r["series"]):
-        if r["distinct"] <= limit:
-            continue
-        edges = sorted(set(r["cuts"]))
-        splits = edges[1:-1]
-        fine = max(1, math.ceil(r["distinct"] / (limit * max(len(splits) + 1, 1))))
-        v = F.col("value")
-        coarse = F.expr(_balanced_sum([f"int(value >= {c!r}D)" for c in splits]))
-        if fine > 1:
-            lows, highs = F.array(*[F.lit(e) for e in edges[:-1]]), F.array(*[F.lit(e) for e in edges[1:]])
-            lo, hi = F.element_at(lows, coarse + 1), F.element_at(highs, coarse + 1)
-            inner = F.greatest(F.lit(0), F.least(F.lit(fine - 1), F.floor((v - lo) / (hi - lo) * fine)))
-            coarse = coarse.cast("bigint") * fine + inner
-        cell = F.when(F.col("series") == r["series"], coarse.cast("bigint")).otherwise(cell)
-    placed = counts.withColumn("_cell", cell)
-    before = Window.partitionBy("series").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
-    inside = Window.partitionBy("series", "_cell").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
     totals = {"cnt": "cum", **{c: f"cum_{c}" for c in also}}
-    offsets = placed.groupBy("series", "_cell").agg(*[F.sum(c).alias(c) for c in totals]).select(
-        "series", "_cell", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in totals]
+    placed = materialize(
+        counts.repartitionByRange("series", "value").withColumn("_part", F.spark_partition_id()), "value-ranges"
+    )
+    before = Window.partitionBy("series").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_part", "series").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    # one row per range and series: as many as there are shuffle partitions and series, not rows
+    carried = placed.groupBy("series", "_part").agg(*[F.sum(c).alias(c) for c in totals]).select(
+        "series", "_part", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"_before_{c}") for c in totals]
     )
     return (
         placed.select("*", *[F.sum(c).over(inside).alias(f"_run_{c}") for c in totals])
-        .join(offsets, ["series", "_cell"])
+        .join(F.broadcast(carried), ["series", "_part"])
         .select(*counts.columns, *[(F.col(f"_before_{c}") + F.col(f"_run_{c}")).alias(out) for c, out in totals.items()])
     )
 
 
+@dataclass(frozen=True)
+class OrderedList:
+    """A written list in a total order: each row has the number of its range (``_part``) and its place in it.
+
+    ``starts`` holds the number of rows before each range, and the length of the list last.
+    """
+
+    table: DataFrame
+    starts: tuple[int, ...]
+
+    def __len__(self) -> int:
+        return self.starts[-1]
+
+    def between(self, low: int, high: int) -> DataFrame:
+        """The rows with ordinals from ``low`` to before ``high``, in order; only the files of their ranges are read."""
+        columns = [c for c in self.table.columns if c not in ("_part", "_place")]
+        low, high = max(low, 0), min(high, len(self))
+        part, place = F.col("_part"), F.col("_place")
+        if low >= high:
+            return self.table.filter(part < 0).select(*columns)
+        first, last = bisect_right(self.starts, low) - 1, bisect_left(self.starts, high) - 1
+        rows = self.table.filter((part >= first) & (part <= last))
+        rows = rows.filter((part > first) | (place >= low - self.starts[first]))
+        rows = rows.filter((part < last) | (place < high - self.starts[last]))
+        return rows.orderBy("_part", "_place").select(*columns)
+
+
+def ordered_list(df: DataFrame, order: list[Column], label: str) -> OrderedList:
+    """Sort ``df`` once by ranges and write it, a folder per range; ``order`` should leave no ties.
+
+    ``df`` is read twice (once to find the ranges), so pass a materialised table or a cheap plan.
+    """
+    at = F.monotonically_increasing_id()  # the range's number above bit 33, the row's place in it below
+    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", at)
+    placed = placed.withColumn("_part", F.shiftright("_at", 33).cast("int"))
+    placed = placed.withColumn("_place", F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))).drop("_at")
+    table = materialize(placed, label, ["_part"])
+    sizes = {r["_part"]: r["n"] for r in table.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = [sizes.get(i, 0) for i in range(max(sizes, default=-1) + 1)]
+    return OrderedList(table, tuple(accumulate(counts, initial=0)))
+
+
 def average_ranks(
     df: DataFrame,
     series: Mapping[str, Column],
@@ -390,7 +416,7 @@ def average_ranks(
         return cells.withColumn("avg_rank", rank.cast("double"))
     counts = materialize(cells.groupBy("series", "value").agg(F.count(F.lit(1)).alias("cnt")), "value-counts")
     ranked = materialize(
-        cumulative_counts(counts, limit).withColumn("avg_rank", F.col("cum") - (F.col("cnt") - 1) / 2).drop("cum"),
+        cumulative_counts(counts).withColumn("avg_rank", F.col("cum") - (F.col("cnt") - 1) / 2).drop("cum"),
         "value-ranks",
     )
     joined = join_on_values(cells, ranked, ["series", "value"], "cnt", n, F.col(row_key))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from oddsift.functions.messages import NAMES
 from oddsift.operators.model import kind
-from oddsift.operators.orderstats import average_ranks
+from oddsift.operators.orderstats import OrderedList, average_ranks, ordered_list
 from oddsift.operators.prepare import MISSING, Prepared, prepare, quoted
 from oddsift.operators.registry import Fitted, fit
 from oddsift.session import materialize
@@ -164,16 +164,19 @@ class Analysis:
     def nonzero_histogram(self) -> DataFrame:
         return self.votes_histogram().filter(F.col("votes") > 0)
 
-    def ranked_consensus(self) -> DataFrame:
-        """(row_id, votes, consensus_score) of rows with a vote, in report order."""
-        voted = self.votes.filter(F.col("votes") > 0)
-        return voted.join(self.consensus_scores, "row_id").orderBy(F.desc("votes"), F.desc("consensus_score"), "row_id")
+    @cached_property
+    def ranked_consensus(self) -> OrderedList:
+        """(row_id, votes, consensus_score) of rows with a vote, in report order; written once, read by ordinals."""
+        voted = materialize(self.votes.filter(F.col("votes") > 0).join(self.consensus_scores, "row_id"), "voted")
+        return ordered_list(voted, [F.desc("votes"), F.desc("consensus_score"), F.col("row_id")], "ranked")
 
     def consensus(self, limit: int | None = None) -> DataFrame:
         """The report's main list, whole or its first ``limit`` rows: (row, votes, consensus_score, values, reasons)."""
-        top = self.ranked_consensus()
-        if limit is not None:
-            top = F.broadcast(top.limit(limit)) if limit <= SMALL_LIST else top.limit(limit)
+        if limit is None:
+            top = self.votes.filter(F.col("votes") > 0).join(self.consensus_scores, "row_id")
+        else:
+            top = self.ranked_consensus.between(0, limit)
+            top = F.broadcast(top) if limit <= SMALL_LIST else top
         columns = [*self.params.numeric_columns, *self.params.categorical_columns]
         kinds = {f.name: f.dataType.typeName() for f in self.source.schema.fields}
         def shown(c: str) -> Column:
@@ -193,14 +196,18 @@ class Analysis:
         )
 
     def page(self, number: int, size: int = PAGE_ROWS) -> DataFrame:
-        """One page of the consensus list, counted from 0."""
-        return self.ranked_consensus().offset(number * size).limit(size)
+        """One page of the consensus list, counted from 0; it reads the ranges that the page touches."""
+        return self.ranked_consensus.between(number * size, (number + 1) * size)
+
+    def pages(self, size: int = PAGE_ROWS) -> int:
+        """The number of pages, from the list's length alone."""
+        return -(-len(self.ranked_consensus) // size)
 
     def printed(self, rows: int = PRINTED_ROWS) -> DataFrame:
         """The first rows for print, each with the number shown and the number in the whole list."""
-        listed = self.ranked_consensus()
-        total = listed.agg(F.count(F.lit(1)).alias("listed"))
-        return listed.limit(rows).crossJoin(F.broadcast(total)).withColumn("shown", F.least(F.lit(rows), F.col("listed")))
+        listed = F.lit(len(self.ranked_consensus)).cast("bigint")
+        return self.ranked_consensus.between(0, rows).select(
+            "*", listed.alias("listed"), F.least(F.lit(rows).cast("bigint"), listed).alias("shown"))
 
     def numeric_statistics(self) -> DataFrame:
         """Spread of each imputed number column; ``missing`` counts the nulls of the raw column."""

@@ -10,7 +10,7 @@ import os
 import uuid
 from datetime import datetime, timedelta, timezone
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -99,6 +99,21 @@ class AuditLog:
         seen = self.analyses(file_id).filter(F.col("fingerprint") == fingerprint)
         return not seen.isEmpty()
 
+    def append_analyses(self, records: DataFrame) -> None:
+        """Log many analyses at once; columns that ``records`` lacks become null."""
+        wanted, given = T.StructType.fromDDL(ANALYSES), set(records.columns)
+        cells = [(F.col(f.name) if f.name in given else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
+        self._write(records.select(*cells), "analyses")
+
+    def unseen(self, requests: DataFrame) -> DataFrame:
+        """The requests, told by ``file_id`` and ``fingerprint``, that the log does not answer yet.
+
+        One anti join looks all of them up. A pair counts once however often it was logged; repeated requests stay
+        repeated, and one without id or fingerprint is always unseen.
+        """
+        pair = ["file_id", "fingerprint"]
+        return requests.join(self._read("analyses", ANALYSES).select(*pair).distinct(), pair, "left_anti")
+
     def analyze_once(self, df: DataFrame, params: Parameters, file_id: str, filename: str, sha256: str, row_id: str = "row_id") -> Analysis | None:
         """Analyse and log an input, or return None if the log already has it with these parameters."""
         params.check(df.columns)
@@ -125,17 +140,21 @@ def history(analyses: DataFrame, file_id: str | None = None) -> DataFrame:
     return wanted.orderBy("created_at", "id")
 
 
+def parameters_column(p: Parameters) -> Column:
+    lists = {"models": p.models, "numeric_columns": p.numeric_columns, "categorical_columns": p.categorical_columns}
+    names = [F.array(*[F.lit(x) for x in xs]).cast("array<string>").alias(k) for k, xs in lists.items()]
+    return F.struct(*names, F.lit(p.threshold).alias("threshold"))
+
+
 def analysis_record(a: Analysis, file_id: str, filename: str, sha256: str, now: datetime | None = None) -> DataFrame:
     counts = a.model_summary().agg(
         F.map_from_entries(F.collect_list(F.struct("id", "anomalies"))).alias("por_modelo")
     )
     p = a.params
-    names = [F.array(*[F.lit(x) for x in xs]).cast("array<string>") for xs in (p.models, p.numeric_columns, p.categorical_columns)]
     row = a.summary().crossJoin(counts).select(
         F.lit(str(uuid.uuid4())).alias("id"), F.lit(file_id).alias("file_id"), F.lit(filename).alias("filename"),
         F.lit(sha256).alias("sha256"),
-        F.struct(names[0].alias("models"), names[1].alias("numeric_columns"), names[2].alias("categorical_columns"),
-                 F.lit(p.threshold).alias("threshold")).alias("parameters"),
+        parameters_column(p).alias("parameters"),
         F.struct("rows", "flagged_rows", "flagged_by_majority", "models_run", "por_modelo").alias("summary"),
         F.lit(p.fingerprint()).alias("fingerprint"),
         F.lit(now or datetime.now(timezone.utc)).alias("created_at"),

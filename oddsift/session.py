@@ -7,6 +7,7 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -47,13 +48,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
+def materialize(df: DataFrame, label: str, folders: Sequence[str] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, with a folder per value of ``folders``, and read it back.
 
     The copy cuts the lineage, survives lost executors, and keeps later scans column-pruned.
     """
     path = os.path.join(shared_folder(df.sparkSession), f"{label}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.partitionBy(*folders).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -62,3 +62,12 @@ def test_fold_and_cites_and_buckets(spark):
     assert set(spark.range(1).select(scalars.cited_columns(said, ["valor", "loja"])).first()[0]) == {"valor", "loja"}
     got = spark.sql("select explode(array(0, 2, 3)) v").select(scalars.vote_bucket(F.col("v"), 5)).collect()
     assert [r[0] for r in got] == ["none", "minority", "majority"]
+
+
+def test_fold_agrees_with_the_character_database(spark):
+    import unicodedata
+
+    texts = ["Ελλάδα ΐΰ", "Йё Їй Ў", "Việt Nam ĐỖ", "한국어 값 각", "ガギ ぱ", "ǖ ﬁ ½", "ো ொ", "\U0001109a \U000110ab", "a\u0301\u0327 ", "\ufa10", "", None]
+    want = ["".join(c for c in unicodedata.normalize("NFD", t or "") if unicodedata.category(c) != "Mn").lower().strip() for t in texts]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    assert [r.f for r in df.select("i", scalars.fold_text(F.col("t")).alias("f")).orderBy("i").collect()] == want

@@ -58,3 +58,37 @@ def test_top_cut_never_splits_ties(spark, values, rate, flagged):
     df = spark.createDataFrame([(i, float(x)) for i, x in enumerate(values)], "row_id bigint, s double")
     cut = o.top_cuts(df, {"s": F.col("s")}, len(values), rate, F.col("row_id"))["s"]
     assert df.filter(cut.flags(F.col("s"))).count() == flagged
+
+
+def test_running_counts_over_uneven_ranges(spark):
+    """Values a factor of ten apart, in ten ranges: any cut by width would leave nearly all of them in one."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = [(s, 10.0 ** i, i % 4 + 1) for s in (0, 1) for i in range(-150, 150)]
+        df = spark.createDataFrame(rows, "series int, value double, cnt bigint").withColumn("twice", F.col("cnt") * 2)
+        got = o.cumulative_counts(df, also=["twice"]).toPandas().sort_values(["series", "value"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert (got.cum == got.groupby("series").cnt.cumsum()).all()
+    assert (got.cum_twice == 2 * got.cum).all() and len(got) == 600
+
+
+def test_ordered_list_reads_only_the_ranges_of_a_page(spark):
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.range(5000).select("id", (F.col("id") * 7919 % 1000).alias("v"))
+        ranked = o.ordered_list(df, [F.desc("v"), F.col("id")], "listed")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = df.toPandas().sort_values(["v", "id"], ascending=[False, True]).id.to_list()
+    assert len(ranked) == 5000 and len(ranked.starts) > 4
+    for low, high in ((0, 25), (2490, 2515), (4990, 5010), (0, 5000), (ranked.starts[2], ranked.starts[3]), (5000, 5025), (7, 7)):
+        assert [r.id for r in ranked.between(low, high).collect()] == want[low:high]
+    page = ranked.between(4980, 5000)
+    assert "PartitionFilters: [isnotnull(_part" in page._jdf.queryExecution().executedPlan().toString()
+    assert len({r.p for r in page.select(F.input_file_name().alias("p")).collect()}) == 1
+
+
+def test_ordered_list_of_nothing(spark):
+    ranked = o.ordered_list(spark.range(0), [F.col("id")], "nothing")
+    assert len(ranked) == 0 and ranked.between(0, 25).count() == 0
