@@ -99,5 +99,24 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_token_alignment": op13_token_alignment,
 }
 
-#: these need code beyond SQL (models, tokenizers, graph search); tests hold them against brute force instead
-ORACLES: dict[str, str] = {}
+#: the Jaccard groups in SQL: distinct shingles, a join of different sets within each other's size, and reachable sets
+JACCARD_SQL = """
+with recursive
+w as (select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') as w from documents),
+s as (select distinct doc_id, unnest(case when len(w) >= 4 then list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' '))
+                                          when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from w),
+sized as materialized (select doc_id, count(*) as n, sum(hash(s)) as h from s group by 1),
+kinds as materialized (select min(doc_id) as id, any_value(n) as n, n as nn, h from sized group by n, h),
+ks as materialized (select s.doc_id as id, s.s, k.n from s join kinds k on s.doc_id = k.id),
+pair as (select a.id as a, b.id as b, a.n as n, b.n as m, count(*) as c from ks a join ks b on a.s = b.s and a.id < b.id
+                and 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n) group by 1, 2, 3, 4),
+link as materialized (select a, b from pair where 100 * c >= 85 * (n + m - c)),
+both_ways as materialized (select a, b from link union all select b, a from link),
+reach(a, b) as (select id, id from kinds union select r.a, l.b from reach r join both_ways l on r.b = l.a),
+least_id as (select a, min(b) as c from reach group by 1)
+select w.doc_id, cast(coalesce(sized.n, 0) as bigint) as n_shingles, coalesce(l.c, w.doc_id) as component_id
+from w left join sized using (doc_id) left join kinds k on sized.n = k.n and sized.h = k.h left join least_id l on l.a = k.id
+"""
+
+#: the others need code beyond SQL (models, tokenizers, digests of byte arrays); tests hold them against brute force instead
+ORACLES: dict[str, str] = {"op5_jaccard_join": JACCARD_SQL}

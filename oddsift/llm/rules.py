@@ -4,8 +4,9 @@ A reference holds, for one value of ``lang``, the shares of character classes an
 documents. A document is compared with the references by Jensen-Shannon distance (base 2, so 0 to 1): with the
 character classes of the nearest language, and with the common words of the nearest language. It fails when either
 distance exceeds its limit plus ``slack / sqrt(observations)``, the part that chance alone adds to a short text's
-distance. Texts below ``min_words`` words are not compared; so are all texts when no language has
-``min_reference_words`` words.
+distance. Every language with a word has a reference: its counts and ``prior_words`` words in the shares of all languages
+together, so a reference moves from the pooled shares to its own as its documents grow, without a step. Texts below
+``min_words`` words are not compared; so are all texts when no language has a word.
 
 Defined cases: a null or empty text has no words, so all counts are 0 and ``base_failed`` is true. A null ``lang``
 feeds no reference. Repeated rows are separate documents and give one result row each. An empty table gives an empty
@@ -41,7 +42,7 @@ CHARACTER = CLASS_OF != 255
 @dataclass(frozen=True)
 class Limits:
     min_words: int = 50
-    min_reference_words: int = 1000
+    prior_words: float = 50
     common_share: float = 0.002
     class_distance: float = 0.22
     word_distance: float = 0.36
@@ -223,13 +224,17 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
     tables: dict[str, np.ndarray] = {}
     for r in counted.collect():
         tables.setdefault(r.lang, np.zeros(n_classes + len(known) + 1))[r.place] = r.n
-    langs = sorted(k for k, v in tables.items() if v[n_classes:].sum() >= limits.min_reference_words)
+    langs = sorted(k for k, v in tables.items() if v[n_classes:].sum() > 0)
     if not langs:
         return References()
-    classes = np.array([tables[k][:n_classes] for k in langs])
-    words = np.array([tables[k][n_classes:] for k in langs])
-    words /= words.sum(axis=1, keepdims=True)
-    common = (words[:, :-1] >= share).any(axis=0)
+    counts = np.array([tables[k] for k in langs])
+    n_words = counts[:, n_classes:].sum(axis=1, keepdims=True)
+    # common words are those of a language's own counts, before smoothing
+    common = (counts[:, n_classes:-1] >= share * n_words).any(axis=0)
+    # both histograms of the pooled table, in units of one word
+    smooth = counts + limits.prior_words * counts.sum(axis=0) / n_words.sum()
+    classes, words = smooth[:, :n_classes], smooth[:, n_classes:]
+    words = words / words.sum(axis=1, keepdims=True)
     shares = np.column_stack((words[:, :-1][:, common], 1 - words[:, :-1][:, common].sum(axis=1)))
     return References(langs, classes / classes.sum(axis=1, keepdims=True), known[common], np.clip(shares, 0, 1))
 
