@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsift.llm.base import LOWER, SPACE_BYTES, Texts, Tokens, byte_table, text_slices, windows
+from oddsift.llm.base import LOWER, SPACE_BYTES, Texts, Tokens, byte_table, text_slices, windows, worker_store
 
 # Character classes by byte. A byte that continues a character counts for none.
 CLASSES = ["space", "line", "lower", "upper", "digit", "stop", "bracket", "symbol", "other", "wide"]
@@ -35,6 +35,8 @@ CLASS_OF = byte_table(
     },
     8,
 )
+#: texts are worked in runs of this size: histograms are kept per text and common word, hashes per byte
+SLICE_BYTES = 1 << 19
 SYMBOL = byte_table({b"#*$%&|<>": 1}).astype(bool)
 CHARACTER = CLASS_OF != 255
 
@@ -138,7 +140,7 @@ def nearest(counts: np.ndarray, references: np.ndarray) -> np.ndarray:
 def judge(column: pa.Array, refs: References, limits: Limits) -> dict[str, np.ndarray]:
     """All counts, distances and verdicts for a column of texts."""
     parts = []
-    for t in text_slices(column):
+    for t in text_slices(column, SLICE_BYTES):
         texts = [x or "" for x in column.slice(t.first_row, t.n).to_pylist()]
         words = Tokens(t)
         out = base_counts(t, words, texts)
@@ -174,11 +176,12 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
 
     def group(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, list[str], Texts]]:
         names = batch.column(0).to_pylist()
-        for t in text_slices(batch.column(1)):
+        for t in text_slices(batch.column(1), SLICE_BYTES):
             own, inverse = np.unique(np.array(names[t.first_row : t.first_row + t.n], dtype=object), return_inverse=True)
             yield inverse, list(own), t
 
     def frequent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("rules")  # nothing is kept; what another operator left in this worker goes
         room, kept, totals = int(np.ceil(4 / share)), {}, {}
         for batch in batches:
             for inverse, own, t in group(batch):
@@ -204,6 +207,7 @@ def references(docs: DataFrame, limits: Limits = Limits(), text: str = "text", l
     known = np.unique(np.array([r.word for r in candidates.select("word").distinct().collect()], dtype=np.int64).view(np.uint64))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("rules")  # nothing is kept; what another operator left in this worker goes
         sums: dict[str, np.ndarray] = {}
         for batch in batches:
             for inverse, own, t in group(batch):
@@ -244,6 +248,7 @@ def score(docs: DataFrame, refs: References, limits: Limits = Limits(), doc_id:
     fields = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("rules")
         for batch in batches:
             if batch.num_rows:
                 out = judge(batch.column(1), refs, limits)
@@ -263,6 +268,7 @@ def keep(docs: DataFrame, refs: References, limits: Limits = Limits(), text: str
     place = docs.columns.index(text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("rules")
         for batch in batches:
             if batch.num_rows:
                 yield batch.filter(pa.array(judge(batch.column(place), refs, limits)["kept"]))
