@@ -3,9 +3,9 @@
 All of it is DataFrame functions. Places of matches come from the stretches between them: a split by the pattern and
 the list of its matches together give every start and end in code points.
 
-The models count character pairs in labelled strings, smoothed by one. A stretch of a run of ``CANDIDATE`` characters is
+The models count character pairs in labelled strings, smoothed by one and by a share ``UNSEEN`` of any pairs. A stretch of a run of ``CANDIDATE`` characters is
 a secret if the log-likelihood ratio summed over its pairs is at least ``MIN_RATIO`` (the logarithm of the odds against
-secrets in ordinary text). Its span is widened to the signs around it, and over parts of at most three characters next
+secrets in ordinary text). Numbers, dates, UUIDs and numbered names are ordinary, so they are not secrets by themselves. Its span is widened to the signs around it, and over parts of at most three characters next
 to it. It stands beside the matches of fixed patterns, unless one of them covers it whole.
 
 Defined cases: a null text is empty and has no spans; the hash is that of the empty string then. Repeated rows each
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import math
 import string
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -41,6 +42,8 @@ CANDIDATE = Kind("random", r"[A-Za-z0-9+/_=-]{16,}", 0, 16)
 #: from the last character of a stretch: the rest of its part, and up to eight short parts after it
 BESIDE = r"^(?:[A-Za-z0-9]++|(?=[+/_=-]))(?:[+/_=-][A-Za-z0-9]{0,3}+(?![A-Za-z0-9])){0,8}+"
 MIN_RATIO = 14.0
+#: share of pairs that follow no sample: a pair that training never met says no more than that
+UNSEEN = 0.05
 NAMES = [k.name for k in BASE] + [CANDIDATE.name]
 MASK = "[SECRET]"
 
@@ -48,7 +51,10 @@ MASK = "[SECRET]"
 PARTS = (
     "get set add user name file path data list item index value key count total order date time start stop read write open close "
     "page text line word table column row node link host port server client request response error message status result type "
-    "class object method field model view test build main init load save update delete create find sort filter merge split"
+    "class object method field model view test build main init load save update delete create find sort filter merge split "
+    "invoice customer account product payment address number version config service handler context session cache query queue job "
+    "task worker event source target input output parse format convert validate check verify process provider module package import "
+    "export local global public private image report review avoid"
 ).split()
 
 
@@ -73,24 +79,71 @@ def matches(text: Column, kind: Kind, order: int, keep: Column | None = None) ->
 # ---------------------------------------------------------------- models
 
 
+def ordinary_numbers(rows: DataFrame, part: Callable[[int], Column]) -> DataFrame:
+    """Ordinary strings with digits for each ``id``: dates, counters, telephone numbers, UUIDs, URL paths, numbered names."""
+
+    def drawn(seed: int, size: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(size))
+
+    def digits(seed: int, size: int) -> Column:
+        return F.lpad(drawn(seed, 10**size).cast("string"), size, "0")
+
+    # any second of the fifty years from 1990 on
+    time = F.timestamp_seconds(F.lit(631_152_000) + drawn(10, 50 * 31_557_600))
+    digest = F.sha2(F.col("id").cast("string"), 256)
+    cuts = [(1, 8), (9, 4), (13, 4), (17, 4), (21, 12)]
+    kinds = [
+        *[F.date_format(time, f) for f in ("yyyyMMddHHmmss", "yyyy-MM-dd", "yyyyMMdd_HHmmss", "yyyy/MM/dd", "yyyyMMdd'T'HHmmss'Z'")],
+        *[digits(20 + n, n) for n in (4, 8, 12, 16)],
+        F.concat(digits(40, 16), digits(41, 8)),
+        F.concat(F.lit("000000"), digits(42, 8)),
+        F.concat_ws("-", F.concat(F.lit("+"), digits(43, 2)), digits(44, 3), digits(45, 3), digits(46, 4)),
+        F.concat(F.lit("+"), digits(47, 11)),
+        F.concat_ws("-", *[F.substring(digest, at, n) for at, n in cuts]),
+        F.upper(F.concat_ws("-", *[F.substring(digest, at + 32 * (at < 13), n) for at, n in cuts])),
+        F.concat_ws("_", part(0), F.year(time), digits(48, 9)),
+        F.concat_ws("-", part(1), digits(49, 6)),
+        F.concat_ws("/", part(0), part(1), F.date_format(time, "yyyy-MM-dd"), F.concat_ws("-", part(2), digits(50, 8))),
+        F.concat_ws("/", part(2), digits(51, 5), part(3), digits(52, 3)),
+        F.concat_ws("/", F.lit("api"), F.concat(F.lit("v"), digits(57, 1)), part(0), part(1)),
+        F.concat(F.concat_ws("_", part(3), part(0)), digits(53, 2)),
+        F.concat(F.initcap(part(1)), F.initcap(part(2)), digits(54, 1)),
+        F.concat(F.upper(part(3)), F.lit("-"), digits(55, 7)),
+        F.concat_ws("=", part(0), digits(56, 6)),
+    ]
+    return rows.select(F.explode(F.array(*kinds)).alias("value"))
+
+
 def labelled_strings(spark: SparkSession, docs: DataFrame | None = None, text: str = "text", max_docs: int = 400) -> DataFrame:
-    """Rows (value, random): digests in usual encodings, and identifiers joined from ordinary words.
+    """Rows (value, random): digests in usual encodings, and identifiers joined from ordinary words, dates and numbers.
 
-    With ``docs``, words of about ``max_docs`` documents drawn by a hash are ordinary too.
+    Lower-case hexadecimal digests are left to the fixed pattern. With ``docs``, the runs of about ``max_docs`` documents
+    drawn by a hash are ordinary too, without what the fixed patterns match, and without long runs that mix small letters,
+    capitals and digits: those may be secrets themselves.
     """
     digest = F.sha2(F.col("id").cast("string"), 256)
     coded = F.base64(F.unhex(digest))
     upper = F.upper(F.conv(F.substring(digest, 1, 15), 16, 36))
-    random = spark.range(3000).select(F.explode(F.array(coded, F.translate(coded, "+/", "-_"), digest, F.concat(upper, F.reverse(upper)))).alias("value"))
+    random = spark.range(3000).select(F.explode(F.array(coded, F.translate(coded, "+/", "-_"), F.concat(upper, F.reverse(upper)))).alias("value"))
     parts = F.array(*[F.lit(p) for p in PARTS])
-    picked = [F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int")) for k in range(4)]
+
+    def part(k: int) -> Column:
+        return F.element_at(parts, (F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PARTS))) + 1).cast("int"))
+
+    picked = [part(k) for k in range(4)]
     joined = [F.concat_ws(s, *picked) for s in ("_", "-", "/", "")] + [F.concat(*map(F.initcap, picked)), F.concat_ws("_", *map(F.upper, picked))]
-    ordinary = spark.range(1000).select(F.explode(F.array(*joined)).alias("value"))
+    ordinary = spark.range(1000).select(F.explode(F.array(*joined)).alias("value")).unionAll(ordinary_numbers(spark.range(1000), part))
     if docs is not None:
         rows = docs.count()
         drawn = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 30)) < int((1 << 30) * min(1.0, max_docs / max(rows, 1))))
-        words = drawn.select(F.col(text).alias("t")).distinct().select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z][A-Za-z_/-]{3,}"), F.lit(0))).alias("value"))
-        ordinary = ordinary.unionAll(words.distinct())
+        rest = F.col(text)
+        for pattern in (BASE[0].pattern, "AKIA[A-Z0-9]{12,}", "[0-9a-f]{32,}"):
+            rest = F.regexp_replace(rest, pattern, " ")
+        runs = drawn.select(rest.alias("t")).distinct().select(F.explode(F.regexp_extract_all("t", F.lit("[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("value"))
+        mixed = F.lit(True)
+        for some in ("[a-z]", "[A-Z]", "[0-9]"):
+            mixed &= F.col("value").rlike(some)
+        ordinary = ordinary.unionAll(runs.distinct().where(~mixed | (F.length("value") < CANDIDATE.shortest)))
     return random.select("value", F.lit(True).alias("random")).unionAll(ordinary.select("value", F.lit(False).alias("random")))
 
 
@@ -103,7 +156,10 @@ def pair_ratios(labelled: DataFrame) -> list[float]:
     # at most two rows for each pair of the alphabet come to the driver
     counts = {(r.random, r.pair): r.n for r in pairs.where(F.col("pair").rlike("^[A-Za-z0-9+/_=-]{2}$")).groupBy("random", "pair").agg(F.count("*").alias("n")).collect()}
     rows = {(k, a): sum(counts.get((k, a + b), 0) for b in ALPHABET) for k in (True, False) for a in ALPHABET}
-    chance = {k: {a + b: (counts.get((k, a + b), 0) + 1) / (rows[k, a] + size) for a in ALPHABET for b in ALPHABET} for k in (True, False)}
+    chance = {
+        k: {a + b: (1 - UNSEEN) * (counts.get((k, a + b), 0) + 1) / (rows[k, a] + size) + UNSEEN / size for a in ALPHABET for b in ALPHABET}
+        for k in (True, False)
+    }
     return [math.log(chance[True][a + b] / chance[False][a + b]) for a in ALPHABET for b in ALPHABET]
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 import string
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,3 +59,35 @@ def test_rest_of_a_run_beside_a_fixed_pattern(spark, ratios):
     assert [(got[i].n_access, got[i].n_hex) for i in range(4)] == [(1, 0), (0, 1), (0, 1), (0, 2)]
     assert got[3].spans == "assign:0:41,hex:9:41,hex:42:74"  # a candidate inside a fixed pattern adds nothing
     assert all(t.replace("[SECRET]", "") in ("", " ") for t in masked(spark, ratios, texts))
+
+
+def ordinary_texts(n, seed):
+    g = random.Random(seed)
+
+    def d(size):
+        return "".join(g.choice(string.digits) for _ in range(size))
+
+    def dated():
+        return f"20{d(2)}-0{g.randint(1, 9)}-1{d(1)}"
+
+    for _ in range(n):
+        yield from (
+            f"order 20{d(18)}", f"isbn 978{d(13)}", f"invoice_20{d(2)}_{d(12)}", f"id {uuid.UUID(int=g.getrandbits(128))}",
+            f"at {dated()}T10:{d(2)}:{d(2)} or 20{d(12)}", f"call +{d(2)}-{d(3)}-{d(3)}-{d(4)} or +{d(13)}",
+            f"https://example.org/es/articulo/{dated()}/item-{d(8)}", f"http://shop.example.com/products/{d(6)}/reviews/{d(4)}?page={d(2)}",
+        )
+
+
+def test_numbers_dates_and_ids_stay(spark, ratios):
+    texts = list(ordinary_texts(50, "numbers"))
+    assert sum(a != b for a, b in zip(masked(spark, ratios, texts), texts, strict=True)) <= 4  # one per cent
+
+
+def test_models_of_documents_find_the_same(spark):
+    """Secrets in the sampled documents themselves do not become ordinary."""
+    texts = [*ordinary_texts(20, "docs"), *[f"see {k} there" for k in keys(100, 24, "docs")]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    own = secret_scan.pair_ratios(secret_scan.labelled_strings(spark, docs))
+    out = masked(spark, own, texts)
+    assert sum(a != b for a, b in zip(out[:160], texts[:160], strict=True)) <= 2
+    assert sum(t == "see [SECRET] there" for t in out[160:]) >= 97
