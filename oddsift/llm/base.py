@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import sys
 import types
 from collections.abc import Iterator
@@ -43,9 +45,19 @@ def worker_store(name: str) -> dict:
     box = sys.modules.setdefault("oddsift_worker_store", types.ModuleType("oddsift_worker_store"))
     if getattr(box, "name", None) != name:
         box.name, box.store = name, {}
+        give_back()
     return box.store
 
 
+def give_back() -> None:
+    """Return freed memory to the system: allocators keep it otherwise, for as long as the worker lives."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only the GNU library has it
+    if trim is not None:
+        trim(0)
+
+
 # ---------------------------------------------------------------- text slices
 
 

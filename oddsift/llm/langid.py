@@ -32,7 +32,7 @@ from oddsift.llm.base import worker_store
 UNKNOWN = "und"
 MAX_RUN = 48
 WORD_START = "▁"
-CACHED_WORDS = 600_000
+CACHED_WORDS = 300_000
 ROWS = 500
 STRETCH = 4096
 LETTERS = re.compile(r"[^\W\d_]+")
