@@ -38,6 +38,8 @@ from oddsift.session import materialize
 
 SKETCH_BITS = 20
 BLOCK = 1 << 12
+#: texts are worked in runs of this size: hashes and places take some hundred bytes for each byte of a run
+SLICE_BYTES = 1 << 20
 #: frequencies are kept as eighths of a power of two
 STEPS = 8
 MOST_EXTRA = 8
@@ -80,7 +82,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
-            for t in text_slices(batch.column(0)):
+            for t in text_slices(batch.column(0), SLICE_BYTES):
                 values = np.concatenate(shingle_sets(t, width))
                 total += np.bincount(values >> np.uint64(64 - SKETCH_BITS), minlength=len(total))
         blocks = total.reshape(-1, BLOCK).astype(np.int32)
@@ -136,7 +138,7 @@ def prepare(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
         met: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
-            for t in text_slices(batch.column(1)):
+            for t in text_slices(batch.column(1), SLICE_BYTES):
                 rows = []
                 for i, values in enumerate(shingle_sets(t, width)):
                     doc = ids[t.first_row + i]
@@ -249,7 +251,7 @@ def verify(pairs: DataFrame, docs: DataFrame, prepared: DataFrame, width: int, n
             batch = batch.filter(pc.is_valid(batch.column(0)))
             place = bit_places(batch.column(0).to_numpy(zero_copy_only=False), len(bits) * 8)
             batch = batch.filter(pa.array((bits[place >> 3] >> (7 - (place & 7)) & 1).all(axis=1)))
-            for t in text_slices(batch.column(1)):
+            for t in text_slices(batch.column(1), SLICE_BYTES):
                 keep = [(class_of(v), v.view(np.int64)) for v in shingle_sets(t, width) if len(v)]
                 keep = [(c, v) for c, v in keep if c not in met and not met.add(c)]
                 if keep:
