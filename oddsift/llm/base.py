@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 SLICE_BYTES = 4 << 20
+#: bytes of text whose tokens are hashed at a time
+HASH_BLOCK = 1 << 17
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -136,18 +138,26 @@ class Tokens:
         self._data = data
 
     def hashes(self) -> np.ndarray:
-        """A 64-bit hash of each token's bytes."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        size = len(self._data)
-        lengths = np.diff(np.append(self.start, size))
-        place = np.arange(self.start[0], size, dtype=np.int64) - np.repeat(self.start, lengths)
-        inside = self.kind[self.start[0] :] == np.repeat(self.kind[self.start], lengths)
+        """A 64-bit hash of each token's bytes, worked out in blocks of tokens so that memory does not follow the run."""
+        out = np.empty(len(self.start), dtype=np.uint64)
+        at = 0
+        while at < len(out):
+            stop = max(at + 1, int(np.searchsorted(self.start, self.start[at] + HASH_BLOCK)))
+            end = int(self.start[stop]) if stop < len(out) else len(self._data)
+            out[at:stop] = self._block_hashes(self.start[at:stop], end)
+            at = stop
+        return out
+
+    def _block_hashes(self, start: np.ndarray, end: int) -> np.ndarray:
+        begin = int(start[0])
+        lengths = np.diff(np.append(start, end))
+        place = np.arange(begin, end, dtype=np.int64) - np.repeat(start, lengths)
+        inside = self.kind[begin:end] == np.repeat(self.kind[start], lengths)
         place[~inside] = 0
         powers = np.cumprod(np.full(int(place.max()) + 1, STEP, dtype=np.uint64))
-        value = BYTE_VALUES[self._data[self.start[0] :]] * powers[place]
+        value = BYTE_VALUES[self._data[begin:end]] * powers[place]
         value[~inside] = 0
-        return mix(np.add.reduceat(value, self.start - self.start[0]))
+        return mix(np.add.reduceat(value, start - begin))
 
     def owners(self) -> np.ndarray:
         """The text of each token."""
