@@ -33,7 +33,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from oddsift.llm.base import Texts, Tokens, mix, text_slices, windows
+from oddsift.llm.base import Texts, Tokens, mix, text_slices, windows, worker_store
 from oddsift.session import materialize
 
 SKETCH_BITS = 20
@@ -80,6 +80,7 @@ def sketch(texts: DataFrame, width: int) -> np.ndarray:
     """Frequency level of each of 2 ** SKETCH_BITS hash buckets over all texts, one byte each."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("jaccard")  # nothing is kept; what another operator left in this worker goes
         total = np.zeros(1 << SKETCH_BITS, dtype=np.int64)
         for batch in batches:
             for t in text_slices(batch.column(0), SLICE_BYTES):
@@ -135,6 +136,7 @@ def prepare(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     cost = excess(levels)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("jaccard")  # nothing is kept; what another operator left in this worker goes
         met: set[int] = set()
         for batch in batches:
             ids = batch.column(0).to_pylist()
@@ -246,6 +248,7 @@ def verify(pairs: DataFrame, docs: DataFrame, prepared: DataFrame, width: int, n
     bits = filter_bits(chosen, chosen.count())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worker_store("jaccard")  # nothing is kept; what another operator left in this worker goes
         met: set[int] = set()
         for batch in batches:
             batch = batch.filter(pc.is_valid(batch.column(0)))
