@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from oddsift.llm import jaccard, langid, packing, rules, secret_scan
-from oddsift.llm.base import crc_of, spare_name
+from oddsift.llm.base import crc_of, small_batches, spare_name
 from oddsift.session import materialize
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -21,6 +21,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
     Rows that repeat are judged alike; a null id is not learned from. An empty table stays empty.
     """
+    small_batches(spark)
     usable = F.coalesce(F.pmod(crc_of("doc_id"), F.lit(3)) != 1, F.lit(False))
     return langid.keep(docs, langid.train(docs, usable, PIECES))
 
@@ -28,6 +29,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 def rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or lie far from every language reference; a null text has no words and
     fails. Rows that repeat are judged alike. An empty table stays empty."""
+    small_batches(spark)
     return rules.keep(docs, rules.references(docs))
 
 
@@ -37,6 +39,7 @@ def jaccard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Rows are told apart by a 64-bit hash of id and text, so rows that share an id, or have none, are judged each by its
     own text. Of equal rows one stays; rows without shingles all stay. An empty table stays empty.
     """
+    small_batches(spark)
     key = spare_name(docs.columns, "row_key")
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "text"))
     groups = materialize(jaccard.group(keyed, width=5, num=80, den=100, doc_id=key), "groups").where("n_shingles > 0")
@@ -67,6 +70,7 @@ def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
     A null text has only the end id; repeated rows are packed each. An empty table gives no pieces.
     """
+    small_batches(spark)
     return packing.pack_texts(docs, WORD_BPE, with_ids=True)
 
 

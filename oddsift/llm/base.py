@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SPACE_BYTES = b" \t\n\x0b\x0c\r"
 
 SLICE_BYTES = 4 << 20
+BATCH_BYTES = 4 << 20
 #: bytes of text whose tokens are hashed at a time
 HASH_BLOCK = 1 << 17
 
@@ -60,6 +61,16 @@ def give_back() -> None:
         trim(0)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches that reach Python workers to BATCH_BYTES each, unless the session names a bound itself.
+
+    Spark's own bound is 64 MB, of which the executor and the worker hold several copies for every running task.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name, None) is None:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
 # ---------------------------------------------------------------- text slices
 
 
