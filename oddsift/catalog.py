@@ -793,11 +793,13 @@ select count(*) as rows, count(*) filter (where votes > 0) as consensus_rows, ca
        cast(4 as bigint) as histogram_rows from v""")
 def report_document(spark, sf):
     path = scratch(spark, "document")
-    sinks.write_document(event_analysis(spark, sf).document(), path)
-    doc = spark.read.json(path)
-    return doc.select(
-        F.col("summary.rows").alias("rows"), F.size("consensus").cast("bigint").alias("consensus_rows"),
-        F.size("models").cast("bigint").alias("models"), F.size("votes_histogram").cast("bigint").alias("histogram_rows"))
+    lines = event_analysis(spark, sf).document_lines()
+    sinks.write_document(lines, path)
+    doc = spark.read.schema(lines.schema).json(path)
+    return doc.agg(
+        F.max("summary.rows").alias("rows"), F.count_if(F.col("section") == "consensus").alias("consensus_rows"),
+        F.max(F.size("models")).cast("bigint").alias("models"),
+        F.max(F.size("votes_histogram")).cast("bigint").alias("histogram_rows"))
 
 
 # ---------------------------------------------------------------- files

@@ -383,6 +383,11 @@ class OrderedList:
         rows = rows.filter((part < last) | (place < high - self.starts[last]))
         return rows.orderBy("_part", "_place").select(*columns)
 
+    def numbered(self, name: str) -> DataFrame:
+        """All rows with their ordinals from 0, not sorted."""
+        at = F.lit(list(self.starts)).getItem(F.col("_part")) + F.col("_place")
+        return self.table.withColumn(name, at.cast("bigint")).drop("_part", "_place")
+
 
 def ordered_list(df: DataFrame, order: list[Column], label: str) -> OrderedList:
     """Sort ``df`` once by ranges and write it, a folder per range; ``order`` should leave no ties.

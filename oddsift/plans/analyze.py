@@ -177,6 +177,14 @@ class Analysis:
         else:
             top = self.ranked_consensus.between(0, limit)
             top = F.broadcast(top) if limit <= SMALL_LIST else top
+        return (
+            self._told(top)
+            .orderBy(F.desc("votes"), F.desc("consensus_score"), "row_id")
+            .select((F.col("row_id") + 1).alias("row"), "votes", "consensus_score", "values", "reasons")
+        )
+
+    def _told(self, top: DataFrame) -> DataFrame:
+        """``top`` with the values and reasons of its rows."""
         columns = [*self.params.numeric_columns, *self.params.categorical_columns]
         kinds = {f.name: f.dataType.typeName() for f in self.source.schema.fields}
         def shown(c: str) -> Column:
@@ -189,11 +197,7 @@ class Analysis:
             for m in self.models
         ])
         reasons = self.wide.select("row_id", F.array_compact(said).alias("reasons"))
-        return (
-            top.join(raw, "row_id").join(reasons, "row_id")
-            .orderBy(F.desc("votes"), F.desc("consensus_score"), "row_id")
-            .select((F.col("row_id") + 1).alias("row"), "votes", "consensus_score", "values", "reasons")
-        )
+        return top.join(raw, "row_id").join(reasons, "row_id")
 
     def page(self, number: int, size: int = PAGE_ROWS) -> DataFrame:
         """One page of the consensus list, counted from 0; it reads the ranges that the page touches."""
@@ -280,25 +284,15 @@ class Analysis:
     def document(self, limit: int | None = None, points: int | None = None) -> DataFrame:
         """The report as one nested row: whole, or with lists of at most ``limit`` rows and ``points`` drawn points.
 
-        A nested row must fit one task; for tables with very many flagged rows give limits, or use the list tables.
+        A nested row must fit one task; for large tables give limits, or use ``document_lines``.
         """
-        def listed(df: DataFrame, name: str) -> DataFrame:
-            return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
-
-        spark = self.wide.sparkSession
-        params = spark.range(1).select(F.struct(
-            F.array(*[F.lit(m) for m in self.models]).alias("models"),
-            F.array(*[F.lit(c) for c in self.params.numeric_columns]).cast("array<string>").alias("numeric_columns"),
-            F.array(*[F.lit(c) for c in self.params.categorical_columns]).cast("array<string>").alias("categorical_columns"),
-            F.lit(self.params.threshold).alias("threshold"),
-        ).alias("parameters"))
         rows = self.top_rows(limit).groupBy("model").agg(
             F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("_order"), "row", "score", "reason"))).alias("rows")
         )
         models = self.model_summary().join(rows, F.col("id") == F.col("model"), "left").drop("model").withColumn(
             "rows", F.transform(F.coalesce("rows", F.array()), lambda r: F.struct(r["row"], r["score"], r["reason"]))
         )
-        doc = params.crossJoin(self.summary().select(F.struct("*").alias("summary")))
+        doc = self._heading()
         parts = [(models, "models"), (self.votes_histogram().orderBy("votes"), "votes_histogram")]
         ranked = self.consensus(limit)
         def earlier(l: Column, r: Column) -> Column:
@@ -317,9 +311,54 @@ class Analysis:
         if scatter is not None:
             parts.append((scatter, "scatter"))
         for df, name in parts:
-            doc = doc.crossJoin(listed(df, name))
+            doc = doc.crossJoin(_listed(df, name))
         return doc
 
+    def _heading(self) -> DataFrame:
+        """(parameters, summary) in one row."""
+        params = self.wide.sparkSession.range(1).select(F.struct(
+            F.array(*[F.lit(m) for m in self.models]).alias("models"),
+            F.array(*[F.lit(c) for c in self.params.numeric_columns]).cast("array<string>").alias("numeric_columns"),
+            F.array(*[F.lit(c) for c in self.params.categorical_columns]).cast("array<string>").alias("categorical_columns"),
+            F.lit(self.params.threshold).alias("threshold"),
+        ).alias("parameters"))
+        return params.crossJoin(self.summary().select(F.struct("*").alias("summary")))
+
+    def document_lines(self) -> DataFrame:
+        """The whole report with one row per entry, so that no row grows with the table.
+
+        The row of section ``head`` holds what is as short as the lists of models and columns. Every other row holds one
+        entry: of a model's flagged rows (``model_rows``), of the main list (``consensus``) or of the ``scatter`` table,
+        in a column named like its section. ``nth`` counts from 0 in report order; scatter points have no order.
+        """
+        head = self._heading()
+        parts = [(self.model_summary(), "models"), (self.votes_histogram().orderBy("votes"), "votes_histogram")]
+        if self.prepared.numeric:
+            parts.append((self.numeric_statistics(), "numeric_statistics"))
+        if self.prepared.categorical:
+            parts.append((self.categorical_statistics(), "categorical_statistics"))
+        for df, name in parts:
+            head = head.crossJoin(_listed(df, name))
+        flagged = materialize(self.results.filter("flag").select("model", "score", "row_id", F.col("reason.message").alias("reason")), "flagged")
+        by_model = ordered_list(flagged, [F.col("model"), F.desc("score"), F.col("row_id")], "flagged-rows").numbered("nth")
+        row = (F.col("row_id") + 1).alias("row")
+        lists = {
+            "model_rows": by_model.select("nth", F.struct("model", row, "score", "reason").alias("model_rows")),
+            "consensus": self._told(self.ranked_consensus.numbered("nth")).select(
+                "nth", F.struct(row, "votes", "consensus_score", "values", "reasons").alias("consensus")),
+        }
+        scatter = self.scatter()
+        if scatter is not None:
+            lists["scatter"] = scatter.select(F.lit(None).cast("bigint").alias("nth"), F.struct("*").alias("scatter"))
+        lines = head.withColumns({"section": F.lit("head"), "nth": F.lit(0).cast("bigint")})
+        for name, entries in lists.items():
+            lines = lines.unionByName(entries.withColumn("section", F.lit(name)), allowMissingColumns=True)
+        return lines.select("section", "nth", *[c for c in lines.columns if c not in ("section", "nth")])
+
+
+def _listed(df: DataFrame, name: str) -> DataFrame:
+    return df.agg(F.collect_list(F.struct(*df.columns)).alias(name))
+
 
 def analyze(df: DataFrame, params: Parameters, row_id: str = "row_id") -> Analysis:
     """Run the chosen methods and write their results once."""

@@ -23,7 +23,7 @@ def write_regional_csv(df: DataFrame, path: str, mode: str = "errorifexists") ->
 
 
 def write_document(doc: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """One nested JSON document per line."""
+    """One JSON object per row of ``doc``: a nested report, or a report in lines."""
     doc.write.mode(mode).json(path)
 
 
