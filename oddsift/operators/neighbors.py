@@ -36,6 +36,8 @@ MAX_LEAVES = 65_536
 LEAF_ROWS = 8_192
 SAMPLE_PER_LEAF = 32
 QUERY_CHUNK = 256
+#: distances of a chunk of points: a task holds a handful of such arrays, whatever the leaf and the number of neighbours
+CHUNK_CELLS = 1 << 19
 VISITS_PER_SLICE = 100_000
 BALANCE = 0.2  # a side whose median leaves less than this on one hand gives way to the next widest
 
@@ -210,6 +212,11 @@ class Boxes:
         return np.concatenate([none, *rows]), np.concatenate([none, *leaves])
 
 
+def _rows(width: int) -> int:
+    """How many points are worked at a time when each meets ``width`` others."""
+    return max(1, min(QUERY_CHUNK, CHUNK_CELLS // max(width, 1)))
+
+
 def _distances(q: np.ndarray, x: np.ndarray, ties: bool) -> np.ndarray:
     acc = np.zeros((len(q), len(x)))
     for j in range(x.shape[1]):
@@ -274,18 +281,19 @@ def _leaf_runs(batches: Iterator[pd.DataFrame], key: list[str]) -> Iterator[tupl
 def visits(pts: Points, k: int, ties: bool) -> DataFrame:
     """(leaf, home, pid, radius, x..): the points that have to ask another leaf."""
     xs = [f"x{j}" for j in range(pts.dims)]
-    boxes = pts.df.sparkSession.sparkContext.broadcast(Boxes(pts))
+    boxes = Boxes(pts)  # travels with the function, by value
 
     def leave(parts: list[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         whole = pd.concat(parts)
         home = int(whole["leaf"].iloc[0])
         x, pid, w = whole[xs].to_numpy(float), whole["pid"].to_numpy(), whole["w"].to_numpy()
-        for at in range(0, len(x), QUERY_CHUNK):
-            some = slice(at, min(at + QUERY_CHUNK, len(x)))
+        step = _rows(len(x))
+        for at in range(0, len(x), step):
+            some = slice(at, min(at + step, len(x)))
             radius = _kth(*_own(x, pid, w, some, ties), k)
             for i in np.flatnonzero(np.isinf(radius)):
-                radius[i] = boxes.value.radius(x[at + i], k)
-            row, leaf = boxes.value.touched(x[some], radius, home)
+                radius[i] = boxes.radius(x[at + i], k)
+            row, leaf = boxes.touched(x[some], radius, home)
             if len(row):
                 out = {"leaf": leaf.astype("int32"), "home": np.full(len(row), home, "int32"), "pid": pid[some][row], "radius": radius[row]}
                 yield pd.DataFrame(out | {c: x[some][row, j] for j, c in enumerate(xs)})
@@ -325,8 +333,9 @@ def answers(pts: Points, asked: DataFrame, k: int, ties: bool, per_slice: int =
                 parts = [pd.concat(parts)]
             x, o, w = parts[0][xs].to_numpy(float), parts[0]["pid"].to_numpy(), parts[0]["w"].to_numpy()
             q, pid, home, radius = part[xs].to_numpy(float), part["pid"].to_numpy(), part["home"].to_numpy(), part["radius"].to_numpy()
-            for at in range(0, len(q), QUERY_CHUNK):
-                some = slice(at, at + QUERY_CHUNK)
+            step = _rows(len(x))
+            for at in range(0, len(q), step):
+                some = slice(at, at + step)
                 d = _distances(q[some], x, ties)
                 within = np.minimum(radius[some], _kth(d, np.broadcast_to(w.astype(float), d.shape), k))
                 i, j = np.nonzero(d <= within[:, None])
@@ -370,13 +379,15 @@ def nearest(pts: Points, k: int, edges: bool) -> DataFrame:
             """Settle the home's points before ``stop``, in chunks, from the answers held."""
             nonlocal done, held
             more = pd.concat(held) if held else back_none
-            pid = home["pid"].to_numpy()
+            pid, asked, step, used = home["pid"].to_numpy(), more["pid"].to_numpy(), _rows(len(home)), 0
             while done < stop:
-                at = slice(done, min(done + QUERY_CHUNK, stop))
-                cut = np.searchsorted(more["pid"].to_numpy(), pid[at.stop - 1], side="right")
-                yield settle(home, at, more.iloc[:cut])
-                more, done = more.iloc[cut:], at.stop
-            held = [more] if len(more) else []
+                cuts = np.searchsorted(asked, pid[done : min(done + step, stop)], side="right")
+                # a chunk is as wide as its point with the most answers
+                width = np.maximum.accumulate(np.diff(cuts, prepend=used)) + len(home)
+                take = max(1, int(np.searchsorted(width * np.arange(1, len(width) + 1), 2 * CHUNK_CELLS, side="right")))
+                yield settle(home, slice(done, done + take), more.iloc[used : cuts[take - 1]])
+                used, done = int(cuts[take - 1]), done + take
+            held = [more.iloc[used:].copy()] if used < len(more) else []
 
         def close() -> Iterator[pd.DataFrame]:
             nonlocal home
