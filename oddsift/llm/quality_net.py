@@ -31,6 +31,8 @@ WIDTH = 64
 NONZERO = 4
 REACH = 2
 BLOCK = 256
+#: texts pooled at a time: their counts by bucket are at most 64 x 16,384 numbers
+POOLED_TEXTS = 64
 
 # Token kinds by byte; bytes of one kind in a row make a token.
 TOKEN_KIND = byte_table(
@@ -96,13 +98,23 @@ def pooled(t: Texts, vectors: np.ndarray) -> np.ndarray:
     counts = np.diff(tokens.first)
     out = np.zeros((t.n, 2 * WIDTH + 1), dtype=np.float64)
     out[:, -1] = np.log1p(counts)
-    full = np.flatnonzero(counts)
-    if len(full):
-        own = vectors[buckets(tokens.hashes())]
-        first = tokens.first[:-1][full]
-        out[full, :WIDTH] = np.add.reduceat(own, first, dtype=np.float64) / counts[full, None]
-        out[full, WIDTH:-1] = np.sqrt(np.add.reduceat(own * own, first, dtype=np.float64) / counts[full, None])
-    return out
+    place = buckets(tokens.hashes())
+    column = np.zeros(len(vectors), dtype=np.int64)
+    for at in range(0, t.n, POOLED_TEXTS):
+        n = counts[at : at + POOLED_TEXTS]
+        own = place[tokens.first[at] : tokens.first[at + len(n)]]
+        if not len(own):
+            continue
+        # token counts by text and bucket, times the vectors of the buckets met
+        met = np.flatnonzero(np.bincount(own, minlength=len(vectors)))
+        column[met] = np.arange(len(met))
+        cell = np.repeat(np.arange(len(n)) * len(met), n) + column[own]
+        share = np.bincount(cell, minlength=len(n) * len(met)).reshape(len(n), -1) / np.maximum(n, 1)[:, None]
+        known = vectors[met].astype(np.float64)
+        out[at : at + len(n), :WIDTH] = share @ known
+        out[at : at + len(n), WIDTH:-1] = np.sqrt(share @ (known * known))
+    # the order of sums depends on the texts worked together, so what lies below single precision is dropped
+    return out.astype(np.float32).astype(np.float64)
 
 
 def pool_column(column: pa.Array, vectors: np.ndarray) -> np.ndarray:
