@@ -7,13 +7,17 @@ looked up and only new ones go through the library. A chunk is whatever stands b
 from __future__ import annotations
 
 import os
+from itertools import filterfalse
 
 import numpy as np
 
 from oddsift.llm.base import worker_store
 
-CACHED_CHUNKS = 700_000
+CACHED_CHUNKS = 400_000
 LONGEST_CACHED = 64
+#: new chunks encoded as one text, and the control character set between them
+JOINED = 64
+MARK = "\x01"
 
 
 class Ids:
@@ -28,6 +32,8 @@ class Ids:
             store.clear()
             store.update(path=path, tokenizer=Tokenizer.from_file(path), chunks={"": b""})
         self.tokenizer, self.chunks = store["tokenizer"], store["chunks"]
+        mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
+        self.mark = mark[0] if len(mark) == 1 else None
         self.end = b"" if end_id is None else np.array([end_id], dtype="<u4").tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
@@ -41,12 +47,11 @@ class Ids:
             split.append(x.replace("\n", " ").split(" "))
         known, new = self.chunks, set()
         for chunks in split:
-            new |= set(chunks).difference(known)
+            new.update(filterfalse(known.__contains__, chunks))
         missing, extra = list(new), []
         for at in range(0, len(missing), 20_000):
             some = missing[at : at + 20_000]
-            for w, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                packed = np.array(e.ids, dtype="<u4").tobytes()
+            for w, packed in zip(some, self._encode_chunks(some), strict=True):
                 if len(w) > LONGEST_CACHED or len(known) >= CACHED_CHUNKS + len(extra):
                     extra.append(w)
                 known[w] = packed
@@ -54,3 +59,24 @@ class Ids:
         for w in extra:
             del known[w]
         return out
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        """Ids of each chunk. Many go through the library in one text, told apart by a mark that stands between them."""
+        runs = [chunks[at : at + JOINED] for at in range(0, len(chunks), JOINED)]
+        if self.mark is None:
+            return [p for run in runs for p in self._one_by_one(run)]
+        out = []
+        joined = self.tokenizer.encode_batch_fast([f" {MARK} ".join(run) for run in runs], add_special_tokens=False)
+        for run, found in zip(runs, joined, strict=True):
+            ids = np.array(found.ids, dtype="<u4")
+            ends = np.flatnonzero(ids == self.mark).tolist()
+            if len(ends) != len(run) - 1 or any(MARK in c or "<|" in c for c in run):
+                out += self._one_by_one(run)
+                continue
+            body, ends = ids.tobytes(), [4 * e for e in ends]
+            out += [body[a:b] for a, b in zip([0, *(e + 4 for e in ends)], [*ends, len(body)], strict=True)]
+        return out
+
+    def _one_by_one(self, chunks: list[str]) -> list[bytes]:
+        found = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in found]
