@@ -4,7 +4,8 @@ Tokenizer A is a byte-level BPE file, B a sentence-piece model that puts a space
 bytes, space and text. After the full tokenisation of a text its tokens are cut into windows at whitespace anchors:
 offsets where tokens of both end, each followed by a token that starts with a space. What lies in a window depends on
 its ids alone, so its groups (runs between shared ends) and links (pairs of tokens that overlap) are worked out once
-and kept by the two id tuples.
+and kept by the two id tuples. Where both tokenizers start anew at single spaces, the text between them is a window of
+its own: what was worked out for it is looked up by that text, and its ids are not needed again.
 
 The number of documents that hold a pair linked is summed over all documents. Each document then adds up its links'
 counts: the table of pairs is looked up in memory while it has at most ``LOOKED_UP`` rows (16 bytes each), and is
@@ -35,6 +36,8 @@ from oddsift.session import materialize
 
 LOOKED_UP = 4_000_000
 KEPT_CHUNKS = 600_000
+KEPT_WORKED = 600_000
+UNSPELT = "", 0, b"", 0, 0
 KEPT_WINDOWS = 600_000
 LONGEST_KEPT = 48
 #: a single space with text on both sides; both tokenizers start a token there
@@ -69,9 +72,9 @@ class Pair:
         store = worker_store("alignment")
         if store.get("paths") != (a_path, b_path):
             store.clear()
-            store.update(paths=(a_path, b_path), chunks={}, windows={}, **self._load(a_path, b_path))
+            store.update(paths=(a_path, b_path), chunks={}, windows={}, worked={}, **self._load(a_path, b_path))
         self.a, self.b, self.first, self.second = store["a"], store["b"], store["first"], store["second"]
-        self.apart, self.chunks, self.windows = store["apart"], store["chunks"], store["windows"]
+        self.apart, self.chunks, self.windows, self.worked = store["apart"], store["chunks"], store["windows"], store["worked"]
 
     @staticmethod
     def _load(a_path: str, b_path: str) -> dict:
@@ -106,17 +109,10 @@ class Pair:
         """Ids of A and B of each text, None where they do not spell it."""
         split = [self._split(t) if t else [] for t in texts]
         known, extra = self.chunks, []
-        missing = [c for c in set().union(*split) if c not in known]
-        for at in range(0, len(missing), 5_000):
-            some = missing[at : at + 5_000]
-            of_a = self.a.encode_batch_fast([" " + c for c in some], add_special_tokens=False)
-            of_b = self.b.encode(some, num_threads=1)
-            for c, x, y in zip(some, of_a, of_b, strict=True):
-                body = (" " + c).encode()
-                spelt = b"".join(map(self.first.tokens.__getitem__, x.ids)) == body == b"".join(map(self.second.tokens.__getitem__, y))
-                if len(c) > LONGEST_KEPT or len(known) >= KEPT_CHUNKS + len(extra):
-                    extra.append(c)
-                known[c] = (array("i", x.ids).tobytes(), array("i", y).tobytes()) if spelt else None
+        for c, ids in self._ids([c for c in set().union(*split) if c not in known]):
+            if len(c) > LONGEST_KEPT or len(known) >= KEPT_CHUNKS + len(extra):
+                extra.append(c)
+            known[c] = ids
         for text, chunks in zip(texts, split, strict=True):
             found = [known[c] for c in chunks]
             if not found:
@@ -128,6 +124,36 @@ class Pair:
         for c in extra:
             del known[c]
 
+    def _ids(self, chunks: list[str]) -> Iterator[tuple[str, tuple[bytes, bytes] | None]]:
+        """Each chunk with its ids of A and B, or None where they do not spell it."""
+        for at in range(0, len(chunks), 5_000):
+            some = chunks[at : at + 5_000]
+            of_a = self.a.encode_batch_fast([" " + c for c in some], add_special_tokens=False)
+            of_b = self.b.encode(some, num_threads=1)
+            for c, x, y in zip(some, of_a, of_b, strict=True):
+                body, x = (" " + c).encode(), x.ids
+                spelt = b"".join(map(self.first.tokens.__getitem__, x)) == body == b"".join(map(self.second.tokens.__getitem__, y))
+                yield c, (array("i", x).tobytes(), array("i", y).tobytes()) if spelt else None
+
+    def aligned(self, texts: list[str | None]) -> Iterator[tuple | None]:
+        """For each text the groups as text, numbers of groups, link codes and numbers of tokens of A and B, each a tuple over
+        its parts in order; None where the tokens do not spell it. No group or link crosses the ends of a chunk, which is
+        spelt by itself."""
+        split = [self._split(t) if t else [] for t in texts]
+        known, extra = self.worked, []
+        for c, ids in self._ids([c for c in set().union(*split) if c not in known]):
+            if len(c) > LONGEST_KEPT or len(known) >= KEPT_WORKED + len(extra):
+                extra.append(c)
+            known[c] = (*self._window(*ids), len(ids[0]) // 4, len(ids[1]) // 4) if ids else UNSPELT
+        for text, chunks in zip(texts, split, strict=True):
+            found = tuple(zip(*map(known.__getitem__, chunks), strict=True)) or None
+            if found and 0 in found[3]:
+                ids = self._whole(text)
+                found = ids and (*zip(*self.align(*ids), strict=True), (len(ids[0]),), (len(ids[1]),))
+            yield found
+        for c in extra:
+            del known[c]
+
     def _whole(self, text: str) -> tuple[np.ndarray, np.ndarray] | None:
         """A text with a chunk that is not spelt may still be spelt as a whole."""
         x, y, body = self.a.encode(" " + text, add_special_tokens=False).ids, self.b.encode(text), (" " + text).encode()
@@ -161,7 +187,7 @@ class Pair:
 
     def _window(self, a: bytes, b: bytes) -> tuple[str, int, bytes]:
         """Walk both sequences by their ends; the tokens at hand always overlap."""
-        x, y = array("i", a), array("i", b)
+        x, y = array("i", a).tolist(), array("i", b).tolist()
         size_a, size_b, step = self.first.lengths, self.second.lengths, len(self.second.tokens)
         codes, groups, i, j, group_i, group_j = [], [], 0, 0, 0, 0
         end_a, end_b = size_a[x[0]], size_b[y[0]]
@@ -196,15 +222,15 @@ def align(docs: DataFrame, a_path: str, b_path: str, doc_id: str = "doc_id", tex
             for at in range(0, batch.num_rows, 200):
                 part = batch.slice(at, 200)
                 rows = []
-                for ids in both.encode(part.column(1).to_pylist()):
-                    if ids is None:
+                for found in both.aligned(part.column(1).to_pylist()):
+                    if found is None:
                         rows.append((0, 0, 0, 0, "", b"", b""))
                         continue
-                    texts, groups, links = zip(*both.align(*ids), strict=True)
+                    texts, groups, links, n_a, n_b = found
                     codes = np.frombuffer(b"".join(links), "<i8")
                     pairs, times = np.unique(codes, return_counts=True)
                     shown = hashlib.sha256(";".join(texts).encode()).hexdigest()
-                    rows.append((len(ids[0]), len(ids[1]), sum(groups), len(codes), shown, pairs.tobytes(), times.astype("<u4").tobytes()))
+                    rows.append((sum(n_a), sum(n_b), sum(groups), len(codes), shown, pairs.tobytes(), times.astype("<u4").tobytes()))
                 columns = list(zip(*rows, strict=True))
                 types = [pa.int64()] * 4 + [pa.string(), pa.binary(), pa.binary()]
                 yield pa.RecordBatch.from_arrays(

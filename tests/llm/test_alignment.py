@@ -92,3 +92,23 @@ def test_windows_are_met_again():
     known = len(both.windows)
     both.align(*ids)
     assert len(both.windows) == known
+
+
+def test_known_chunks_give_their_windows_without_another_walk():
+    both = alignment.Pair(A, B)
+    both.worked.clear()
+    texts = ["one two, three", "three one two, one", "a\n\n b\t c", "café  漢字 x▁y", "", None]
+    kept = [list(zip(*both.align(*ids), strict=True)) if ids else None for ids in both.encode(texts)]
+    walked, walk = [], both._window
+    both._window = lambda a, b: walked.append(a) or walk(a, b)
+    both.align = None  # it was called for every text
+    found = list(both.aligned(texts[:3] + texts[4:]))
+    assert len(walked) == 3 + len(both._split(texts[2]))
+    for got, want in zip(found, kept[:3] + kept[4:], strict=True):
+        if want is None:
+            assert got is None
+            continue
+        assert ";".join(got[0]) == ";".join(want[0]) and sum(got[1]) == sum(want[1]) and b"".join(got[2]) == b"".join(want[2])
+    del both.align
+    (got,) = both.aligned([texts[3]])
+    assert (got and ";".join(got[0])) == (kept[3] and ";".join(kept[3][0]))
